@@ -76,15 +76,42 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_bounds(raw: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a chunk and, per text, the index of its first word (with one more at the end)."""
+def word_bounds(raw: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE, letter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a chunk and, per text, the index of its first word (with one more at the end).
+
+    With a table of letters, words also end where another byte follows a letter.
+    """
     inside = ~sep[raw]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
+    if letter is not None:
+        turn = letter[raw[:-1]] & ~letter[raw[1:]] & inside[1:]
+        first[1:] |= turn
+        last[:-1] |= turn
     cuts = off[:-1][off[:-1] < len(raw)]
     first[cuts] = inside[cuts]
     ends = off[1:][off[1:] > 0] - 1
     last[ends] = inside[ends]
     starts = np.flatnonzero(first)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64 for i below n."""
+    p = np.full(n, base, dtype=np.uint64)
+    p[:1] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def word_digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of the words raw[start:end]: mixed polynomial hashes, the same wherever a word stands."""
+    byte = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+    run = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(byte[raw] * powers(_BASE, len(raw)), out=run[1:])
+    word = (run[ends] - run[starts]) * powers(_BASE_INVERSE, len(raw))[starts]
+    return mix64(word + (ends - starts).astype(np.uint64))

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_chunks, word_bounds
+from .common import mix64, powers, text_chunks, word_bounds, word_digests
 
 DEPTH = 20
 GROUP_LEAVES = 2_000_000  # leaves that a group aims at: 24 bytes each in its task
@@ -31,14 +31,8 @@ BUCKETS = 4096  # of the prefix histogram; fixed, so the driver's copy is bounde
 _LAST = np.iinfo(np.int64).max  # the order of a null doc_id
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, dtype=np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
-_R, _S = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_RI, _SI = pow(_R, -1, 1 << 64), pow(_S, -1, 1 << 64)
+_S = 0xD1342543DE82EF95
+_SI = pow(_S, -1, 1 << 64)
 
 
 def _leaf_digests(raw: np.ndarray, off: np.ndarray, depths: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -48,16 +42,12 @@ def _leaf_digests(raw: np.ndarray, off: np.ndarray, depths: tuple[int, ...]) ->
     n, counts = len(starts), np.diff(at)
     if not n:
         return np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in depths], counts
-    byte = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(byte[raw] * _powers(_R, len(raw)), out=run[1:])
-    word = (run[ends] - run[starts]) * _powers(_RI, len(raw))[starts]
-    word = mix64(word + (ends - starts).astype(np.uint64))
+    word = word_digests(raw, starts, ends)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum(word * _powers(_S, n), out=run[1:])
+    np.cumsum(word * powers(_S, n), out=run[1:])
     left = np.repeat(at[1:], counts) - np.arange(n)
     leaf = np.flatnonzero(left >= depths[-1])
-    unit = _powers(_SI, n)[leaf]
+    unit = powers(_SI, n)[leaf]
     return leaf, [mix64((run[leaf + d] - run[leaf]) * unit + np.uint64(d)) for d in depths], counts
 
 
