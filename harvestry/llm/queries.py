@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, simhash, substring_dedup, token_rollup, url_filter, voronoi
+from . import decontaminate, langid, line_dedup, packing, pii, simhash, substring_dedup, token_rollup, url_filter, voronoi
 from .common import materialise, shared_dir
 
 #: host, path, verdict
@@ -36,6 +36,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
@@ -49,6 +53,11 @@ def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined)."""
+    return line_dedup.removals(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -76,7 +85,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_url_filter, op4_simhash, op5_voronoi_knn, op7_decontaminate, op8_packing, op9_token_rollup, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_url_filter, op4_simhash, op5_voronoi_knn, op6_line_dedup, op7_decontaminate, op8_packing, op9_token_rollup, op10_language_id)}
 
 
 _RE = {k: v.replace("'", "''") for k, v in token_rollup.TOKENIZERS.items()}
