@@ -1 +1,3 @@
 """The registered queries, by family."""
+
+from . import core  # noqa: F401
