@@ -104,11 +104,20 @@ def word_bounds(raw: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE, lette
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+_POWERS_KEPT = 1 << 19  # a longer table is made for the call alone
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** i modulo 2 ** 64 for i below n."""
-    p = np.full(n, base, dtype=np.uint64)
+    """base ** i modulo 2 ** 64 for i below n; short ones are slices of a table that a task makes once."""
+    if n <= _POWERS_KEPT and base in _POWERS:
+        return _POWERS[base][:n]
+    p = np.full(max(n, _POWERS_KEPT), base, dtype=np.uint64)
     p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
+    np.cumprod(p, dtype=np.uint64, out=p)
+    if n <= _POWERS_KEPT:
+        _POWERS[base] = p
+    return p[:n]
 
 
 _BASE = 0x9E3779B97F4A7C15

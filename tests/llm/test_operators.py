@@ -67,12 +67,44 @@ def test_line_dedup(docs, empty, texts):
     for k, (i, n, s) in enumerate(lines):
         if len(s) >= 3 and any(len(o) >= 3 and 5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k]):
             expected.setdefault(i, []).append(n)
-    assert {r.doc_id: list(r.removed) for r in line_dedup.removals(docs).collect() if r.n_removed} == expected
+    for limits in ({}, {"group_lines": 40, "partners": 0}):
+        assert {r.doc_id: list(r.removed) for r in line_dedup.removals(docs, **limits).collect() if r.n_removed} == expected
     out = line_dedup.remove_lines(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert line_dedup.remove_lines(empty).count() == 0
 
 
+def test_line_dedup_in_dense_groups(spark):
+    """Chains of near copies, null and repeated ids, repeated rows: every limit gives what comparing all lines gives."""
+    r = random.Random(3)
+    base = [[f"w{r.randint(0, 30)}" for _ in range(r.randint(3, 14))] for _ in range(12)]
+    data = []
+    for i in range(120):
+        lines = []
+        for _ in range(r.randint(0, 6)):
+            line = list(r.choice(base))
+            for _ in range(r.randint(0, 3)):
+                line[r.randrange(len(line))] = f"w{r.randint(0, 60)}"
+            lines.append(" ".join(line))
+        data.append((None if i == 7 else i, "\n".join(lines)))
+    docs = spark.createDataFrame(data + data[-5:], "doc_id long, text string").repartition(5)
+    lines = [(-1 if i is None else i, n, frozenset(x.split())) for i, t in sorted(data, key=lambda d: -1 if d[0] is None else d[0]) for n, x in enumerate(t.split("\n"))]
+    expected = {}
+    for k, (i, n, s) in enumerate(lines):
+        expected.setdefault(i, [])
+        if len(s) >= 3 and any(len(o) >= 3 and 5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k]):
+            expected[i].append(n)
+    docs = docs.cache()
+    for limits in ({}, {"group_lines": 60, "partners": 1}, {"group_lines": 300, "partners": 0}):
+        got = {-1 if x.doc_id is None else x.doc_id: list(x.removed) for x in line_dedup.removals(docs, **limits).collect()}
+        assert got == expected and sum(map(len, got.values())) > 50
+    named = spark.createDataFrame([(str(i), t) for i, t in data if i is not None and i > 99], "doc_id string, text string")
+    by_name = [(i, n, s) for i, n, s in lines if i > 99]
+    assert line_dedup.removals(named).agg({"n_removed": "sum"}).first()[0] == sum(
+        len(s) >= 3 and any(len(o) >= 3 and 5 * len(s & o) >= 4 * len(s | o) for _, _, o in by_name[:k]) for k, (_, _, s) in enumerate(by_name)
+    )
+
+
 def test_simhash(spark, docs, empty, texts):
     import xxhash
 
