@@ -21,11 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back, which cuts its lineage."""
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df once into the shared folder, with options for Parquet, and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
