@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -21,20 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df once into the shared folder, with options for Parquet, and read it back, which cuts its lineage."""
+    """Write df once into the shared folder, with options for Parquet, and read it back, which cuts its lineage.
+
+    The shuffle files behind it go when it is written; else they wait for the driver's next collection.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done, before a long job goes on; else they wait for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_table(df: DataFrame) -> None:
     """Remove a table that materialise() wrote, through Hadoop's file system interface."""
     spark = df.sparkSession
