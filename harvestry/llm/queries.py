@@ -54,8 +54,8 @@ def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined)."""
-    return line_dedup.removals(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, comma-joined); all lines with words take part."""
+    return line_dedup.removals(_table(spark, sf_dir, "documents"), min_words=1).select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
