@@ -4,6 +4,8 @@ Patterns propose spans: four strict kinds, checked by their own rules, and two l
 groups, addresses with spelt or spaced signs), whose spans may overlap. Boosted stumps over format and context features
 score the loose ones; they learn on a bounded, hash-chosen sample of documents, where a loose span that holds a strict
 one of its kind is an example and one that holds a strict one of another kind, or fails the kind's rules, is a counter-example.
+Since a loose address never fails so, the sample's own text gives more of both: its strict addresses respelt in the loose
+forms are examples; its sentence ends with a sign for "at" put in (`we met (at) noon. Then`) are counter-examples.
 A threshold is calibrated on the held-back half of that sample, and a loose span above it that meets no strict span is
 redacted too. The stumps become a column expression, so that scoring stays in the engine. Documents are read where
 they lie: spans and their positions are arrays of the row, without a shuffle.
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 4000  # expected number of documents that the stumps learn on
 TRAIN_SPANS = 20_000  # and the most spans of these
+PLANTED_SPANS = 2000  # and the most that _planted() adds of examples and of counter-examples
 ROUNDS = 24
 PRECISION = 0.99  # that the threshold is calibrated to
 
@@ -162,6 +165,31 @@ def _example(c: Column) -> Column:
     return F.when(mine, 1).when(other | ~c["ok"], 0)
 
 
+#: Spellings of an address: for its @ and for the dots of its domain.
+SPELT = [(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "(dot)"), (" @ ", "."), (" @ ", " . "), ("[at]", ".")]
+#: Signs for "at" in prose, which no domain follows.
+PROSE = [" @ ", " (at) ", " [at] ", " @"]
+
+
+def _planted(texts: DataFrame) -> DataFrame:
+    """(doc, c, y) from texts(_text): respelt strict addresses with what stands before them (1), sentence ends with a sign for "at" (0)."""
+    before = r"([^@]{0,24}(?<![A-Za-z0-9._%+-]))"
+    mails = F.regexp_extract_all("_text", F.lit(before + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"), F.lit(0))
+    ends = F.regexp_extract_all("_text", F.lit(r"(?<![A-Za-z])[A-Za-z]{1,20}+ [A-Za-z]{1,20}+\. ?[A-Za-z]{1,20}+"), F.lit(0))
+    doc = F.xxhash64("_text").alias("doc")
+    pick = lambda styles: F.pmod(F.xxhash64("raw"), F.lit(len(styles)))
+    found = texts.where(F.col("_text").contains("@")).select(doc, F.explode(mails).alias("raw"))
+    name, domain = F.substring_index("raw", "@", 1), F.substring_index("raw", "@", -1)
+    style = pick(SPELT)
+    at, dot = (F.element_at(F.array(*(F.lit(s[i]) for s in SPELT)), (style + 1).cast("int")) for i in (0, 1))
+    yes = found.select("doc", F.concat(name, at, F.replace(domain, F.lit("."), dot)).alias("_text"), F.lit(1).alias("y"))
+    prose = texts.select(doc, F.explode(F.slice(ends, 1, 4)).alias("raw"))
+    sign = F.element_at(F.array(*(F.lit(s) for s in PROSE)), (pick(PROSE) + 1).cast("int"))
+    no = prose.select("doc", F.concat(F.substring_index("raw", " ", 1), sign, F.expr("substring(raw, instr(raw, ' ') + 1)")).alias("_text"), F.lit(0).alias("y"))
+    spans = _candidates(yes.unionByName(no), "_text").select("doc", "y", F.length("_text").alias("size"), F.explode("loose").alias("c"))
+    return spans.where((F.col("c.kind") == KINDS.index("email")) & (F.col("c.end") == F.col("size"))).select("doc", "c", "y")
+
+
 def _boost(rows: list[tuple[list[int], int]], rounds: int = ROUNDS) -> list[tuple[int, float, float, float]]:
     """Newton-boosted stumps (feature, cut, value up to it, value above) for (features, label)."""
     margin = [0.0] * len(rows)
@@ -204,7 +232,11 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, tuple[list,
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_docs / total)))
     texts = chosen.select(F.coalesce("text", F.lit("")).alias("_text"))
     spans = _candidates(texts, "_text").select(F.xxhash64("_text").alias("doc"), F.explode("loose").alias("c"))
+    order = F.xxhash64("doc", "c.begin", "c.x"), "doc", "c.begin", "c.x", "y"
     rows = spans.withColumn("y", _example(F.col("c"))).where("y is not null").orderBy(F.xxhash64("doc", "c.begin"), "doc", "c.begin").limit(TRAIN_SPANS).collect()
+    planted = _planted(texts)
+    for y in (1, 0):  # a bounded number of each, so that common prose doesn't displace addresses
+        rows += planted.where(F.col("y") == y).orderBy(*order).limit(PLANTED_SPANS).collect()
     out = {}
     for kind in LOOSE:
         mine = [([r.c[f] for f in FEATURES], int(r.y), r.doc % 2) for r in rows if KINDS[r.c.kind] == kind]
