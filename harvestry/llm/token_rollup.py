@@ -3,7 +3,7 @@
 Totals by source, language and tokenizer version are sums of signed deltas: an insert adds a document and its tokens, a
 delete takes both back, a revision adds the difference. A batch's deltas are summed before they are written, one small
 table for each batch id, and its success marker is the commit: committing an id again changes nothing, and a batch that
-was lost half-way is written anew. Totals add the committed tables; compact() folds them into one.
+was lost half-way is written anew. Totals add all tables ever committed; nothing folds them into one yet.
 """
 
 from __future__ import annotations
