@@ -52,6 +52,14 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {x.lower() for x in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = TEXT_CHUNK):
     """Slices (start row, rows, bytes, offsets) of one string column; a single long text may exceed the limit.
 

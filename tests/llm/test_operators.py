@@ -65,12 +65,14 @@ def test_line_dedup(docs, empty, texts):
     lines = [(i, n, frozenset(SPACE.findall(x.lower()))) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))]
     expected = {}
     for k, (i, n, s) in enumerate(lines):
-        if len(s) >= 3 and any(len(o) >= 3 and 5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k]):
+        if s and any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k]):
             expected.setdefault(i, []).append(n)
-    for limits in ({}, {"group_lines": 40, "partners": 0}):
-        assert {r.doc_id: list(r.removed) for r in line_dedup.removals(docs, **limits).collect() if r.n_removed} == expected
-    out = line_dedup.remove_lines(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+    assert {r.doc_id: list(r.removed) for r in line_dedup.removals(docs).collect() if r.n_removed} == expected
+    clash = docs.withColumnsRenamed({"n": "_id", "fp": "_version", "line_no": "_removed"})
+    out = line_dedup.remove_lines(clash)
+    assert out.columns == clash.columns
+    left = {i: t if i not in expected else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in expected[i]) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.text, r._id, r._version, r._removed) for r in out.collect()} == {i: (t, 1, "x", 2) for i, t in left.items()}
     assert line_dedup.remove_lines(empty).count() == 0
 
 
@@ -92,16 +94,22 @@ def test_line_dedup_in_dense_groups(spark):
     expected = {}
     for k, (i, n, s) in enumerate(lines):
         expected.setdefault(i, [])
-        if len(s) >= 3 and any(len(o) >= 3 and 5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k]):
+        if s and any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in lines[:k]):
             expected[i].append(n)
     docs = docs.cache()
-    for limits in ({}, {"group_lines": 60, "partners": 1}, {"group_lines": 300, "partners": 0}):
-        got = {-1 if x.doc_id is None else x.doc_id: list(x.removed) for x in line_dedup.removals(docs, **limits).collect()}
-        assert got == expected and sum(map(len, got.values())) > 50
+    got = {-1 if x.doc_id is None else x.doc_id: list(x.removed) for x in line_dedup.removals(docs).collect()}
+    assert got == expected and sum(map(len, got.values())) > 50
+    # every line takes part, however short; hot sets and split groups as on large tables
+    hot, sets = line_dedup.HOT, line_dedup.HOT_SETS
+    line_dedup.HOT, line_dedup.HOT_SETS = 2, 40
+    try:
+        assert {-1 if x.doc_id is None else x.doc_id: list(x.removed) for x in line_dedup.removals(docs).collect()} == expected
+    finally:
+        line_dedup.HOT, line_dedup.HOT_SETS = hot, sets
     named = spark.createDataFrame([(str(i), t) for i, t in data if i is not None and i > 99], "doc_id string, text string")
     by_name = [(i, n, s) for i, n, s in lines if i > 99]
     assert line_dedup.removals(named).agg({"n_removed": "sum"}).first()[0] == sum(
-        len(s) >= 3 and any(len(o) >= 3 and 5 * len(s & o) >= 4 * len(s | o) for _, _, o in by_name[:k]) for k, (_, _, s) in enumerate(by_name)
+        bool(s) and any(5 * len(s & o) >= 4 * len(s | o) for _, _, o in by_name[:k]) for k, (_, _, s) in enumerate(by_name)
     )
 
 
