@@ -4,8 +4,10 @@ A 64-bit fingerprint maps to 32 coordinates, the popcounts of its two-bit segmen
 11), so that the Manhattan distance of two embeddings is one xor and one popcount. It never exceeds the Hamming
 distance. Pairs within distance 3 lie within Manhattan distance 3, hence one half of the coordinates (16 of them) lies
 within distance 1: the grid range-join meets each half's cell with itself and with the cells one step above it. The
-Manhattan bound over all coordinates and then the Hamming distance decide. Components come from minimum labels with
-pointer jumping over the links between distinct fingerprints; all tables stay distributed.
+Manhattan bound over all coordinates and then the Hamming distance decide. A first round meets each fingerprint with four
+of each cell only, the second all pairs that these links left in different components: a dense ball of distinct
+fingerprints so gives rows that grow with its size. Components come from minimum labels with pointer jumping over the
+links between distinct fingerprints; all tables stay distributed.
 """
 
 from __future__ import annotations
@@ -61,29 +63,48 @@ def thermometer(fp) -> F.Column:
     return fp.bitwiseOR(up).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(up).bitwiseAND(low), 1))
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp, unique) with Hamming distance of at most max_bits (3 at most)."""
-    if max_bits > 3:
-        raise ValueError("two halves cover distances up to 3")
+def _cells(nodes: DataFrame) -> DataFrame:
+    """(fp, label, code, half, cell): each node in the cells of both halves of its coordinates."""
     code = thermometer(F.col("fp"))
-    halves = nodes.select("fp", code.alias("code")).select(
-        "fp", "code", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("cell")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("code", 32).alias("cell")))).alias("h")
-    ).select("fp", "code", "h.half", "h.cell")
+    both = F.array(F.struct(F.lit(0).alias("half"), F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).alias("cell")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("code", 32).alias("cell")))
+    return nodes.select("fp", "label", code.alias("code")).select("fp", "label", "code", F.explode(both).alias("h")).select("fp", "label", "code", "h.half", "h.cell")
+
+
+def _probes(cells: DataFrame) -> DataFrame:
+    """(fp2, label2, code2, half, cell, same): each node in its cells and in those one step above."""
     # a step up sets a segment's low bit (00 to 01) or its high bit where the low one is set (01 to 11)
     step = F.expr("shiftleft(1L, bit)")
     unset = F.col("cell").bitwiseAND(step) == 0
     low_set = (F.col("bit") % 2 == 0) | (F.col("cell").bitwiseAND(F.expr("shiftrightunsigned(shiftleft(1L, bit), 1)")) != 0)
-    probes = halves.select("fp", "code", "half", "cell", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("bit"))
-    probes = probes.where((F.col("bit") < 0) | (unset & low_set)).select(
-        F.col("fp").alias("fp2"), F.col("code").alias("code2"), "half", F.when(F.col("bit") < 0, F.col("cell")).otherwise(F.col("cell").bitwiseOR(step)).alias("cell"), (F.col("bit") < 0).alias("same")
-    )
-    met = halves.join(probes, ["half", "cell"]).where(
-        (~F.col("same") | (F.col("fp") < F.col("fp2")))
-        & (F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= max_bits)
-        & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_bits)
-        & (F.col("fp") != F.col("fp2"))
-    )
-    return met.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
+    steps = cells.select("*", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("bit")).where((F.col("bit") < 0) | (unset & low_set))
+    cell = F.when(F.col("bit") < 0, F.col("cell")).otherwise(F.col("cell").bitwiseOR(step)).alias("cell")
+    return steps.select(F.col("fp").alias("fp2"), F.col("label").alias("label2"), F.col("code").alias("code2"), "half", cell, (F.col("bit") < 0).alias("same"))
+
+
+def _near(x: str, y: str, max_bits: int):
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_bits
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column fp, unique) with Hamming distance of at most max_bits (3 at most).
+
+    Where nodes have a label, only pairs of different labels.
+    """
+    if max_bits > 3:
+        raise ValueError("two halves cover distances up to 3")
+    cells = _cells(nodes if "label" in nodes.columns else nodes.withColumn("label", F.col("fp")))
+    fit = (F.col("label") != F.col("label2")) & _near("code", "code2", max_bits) & _near("fp", "fp2", max_bits)
+    met = cells.join(_probes(cells), ["half", "cell"]).where((~F.col("same") | (F.col("fp") < F.col("fp2"))) & fit)
+    return met.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), F.least("label", "label2").alias("la"), F.greatest("label", "label2").alias("lb"))
+
+
+def hub_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Some pairs a < b of links(nodes): those with four of each cell's nodes, so that rows grow with the number of nodes."""
+    cells = _cells(nodes.withColumn("label", F.col("fp")))
+    order = F.xxhash64("fp")
+    hubs = cells.groupBy("half", "cell").agg(F.min("fp").alias("h1"), F.max("fp").alias("h2"), F.min(F.struct(order, "fp")).getField("fp").alias("h3"), F.max(F.struct(order, "fp")).getField("fp").alias("h4"))
+    met = _probes(cells).join(hubs, ["half", "cell"]).select("fp2", F.explode(F.filter(F.array_distinct(F.array("h1", "h2", "h3", "h4")), lambda h: (h != F.col("fp2")) & (F.bit_count(h.bitwiseXOR(F.col("fp2"))) <= max_bits))).alias("h"))
+    return met.select(F.least("fp2", "h").alias("a"), F.greatest("fp2", "h").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -112,9 +133,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS) -
     component_id (null only if nothing else is reachable). Other columns are ignored, repeated rows are kept.
     """
     fp = materialise(fingerprints(docs, width), "fingerprints")
-    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(nodes.select("fp"), max_bits))
-    joined = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    nodes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    near = components(hub_links(nodes.select("fp"), max_bits))
+    labelled = materialise(nodes.join(near, nodes.fp == near.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
+    rest = components(links(labelled.select("fp", "label"), max_bits).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    joined = labelled.join(rest.select("node", F.col("label").alias("root")), labelled.label == rest.node, "left").select("fp", "first", F.coalesce("root", "label").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     whole = joined.join(smallest, "label").select("fp", "component_id")
-    return fp.join(whole, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = fp.join(whole, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = materialise(out, "components")
+    for table in (fp, nodes, near, labelled, rest):
+        drop_table(table)
+    return out

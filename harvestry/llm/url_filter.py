@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64
+from .common import drop_table, materialise, mix64
 
 BLOCK_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,6 +95,7 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade:
     n, s = inside.count(), outside.count()
     rate = min(0.5, math.sqrt(0.5) * max(n, 1) / max(s, 1))
     levels: list[tuple[np.ndarray, int]] = []
+    written: list[DataFrame] = []
     while n:
         level = len(levels)
         levels.append(_encode(inside, level, n, rate))
@@ -106,8 +107,11 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade:
                 yield batch.filter(pa.array(Cascade.passes(level, *shared.value, h1, h2)))
 
         passed = materialise(outside.select("h1", "h2").mapInArrow(wrong, "h1 long, h2 long"), "cascade")
+        written.append(passed)
         inside, outside = passed, inside
         n, rate = passed.count(), 0.5
+    for table in written:
+        drop_table(table)
     return Cascade(levels)
 
 
@@ -159,6 +163,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", block_byte
                 yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(state, pa.int8()))], batch.schema.names)
 
         hashed = hashed.mapInArrow(test, schema)
+    drop_table(universe)
     found = F.filter(F.arrays_zip("keys", "state"), lambda x: x["state"] > 0)
     longest = F.reduce(found, F.lit(None).cast("struct<keys:string,state:tinyint>"), lambda a, x: F.when(a.isNull() | (F.length(x["keys"]) > F.length(a["keys"])), x).otherwise(a))
     return hashed.withColumn("best", longest).select(

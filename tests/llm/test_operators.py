@@ -137,6 +137,34 @@ def test_simhash(spark, docs, empty, texts):
     values = sorted(x for (x,) in signed)
     assert found == {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
     assert simhash.near_duplicates(empty).count() == 0
+    repeated = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (3, "A  b", 1)], "doc_id long, text string, fp int")
+    assert [(x.doc_id, x.component_id) for x in simhash.near_duplicates(repeated).collect()].count((None, 3)) == 2
+
+
+def test_simhash_in_a_dense_ball(spark):
+    """Hub links connect nearly all of a ball; both rounds give the components of all links."""
+    r = random.Random(4)
+    centre = r.getrandbits(64)
+    ball = {centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(300)} | {r.getrandbits(64) for _ in range(20)}
+    values = sorted(x - (1 << 64) if x >> 63 else x for x in ball)
+    label = {v: v for v in values}
+    find = lambda v: v if label[v] == v else find(label[v])
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 and find(a) != find(b):
+                label[max(find(a), find(b))] = min(find(a), find(b))
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    hubs = simhash.hub_links(nodes)
+    assert hubs.count() < 12 * len(values)
+    near = simhash.components(hubs)
+    labelled = nodes.join(near, nodes.fp == near.node, "left").selectExpr("fp", "coalesce(label, fp) as label").cache()
+    rest = {(x.la, x.lb) for x in simhash.links(labelled).collect()}
+    got = {x.fp: x.label for x in labelled.collect()}
+    up = {v: v for v in values}
+    root = lambda v: v if up[v] == v else root(up[v])
+    for a, b in rest:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    assert {v: root(got[v]) for v in values} == {v: find(v) for v in values}
 
 
 def test_decontaminate(spark, docs, empty, texts):
