@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import core  # noqa: F401
+from . import core, links  # noqa: F401

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions import urls as ur
 from ..operators import search, state
 from ..registry import query
+from .links import _canonical
 
 c = F.col
 
@@ -52,10 +53,10 @@ def _(t):
     return t("events").select("event_type", "user_id").distinct()
 
 
-@query("pending_clear_anti", "select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'error' and user_id is not null)")
+@query("pending_clear_anti", "select event_id, user_id from events where event_id not in (select event_id from events where event_type = 'error' or event_id % 10 = 3)")
 def _(t):
     e = t("events")
-    return e.select("event_id", "user_id").join(e.where("event_type = 'error'").select("user_id").distinct(), "user_id", "left_anti").select("event_id", "user_id")
+    return e.select("event_id", "user_id").join(e.where("event_type = 'error' or event_id % 10 = 3").select("event_id").distinct(), "event_id", "left_anti")
 
 
 @query("queue_pop", "select o_orderkey, o_orderdate, o_custkey from orders where o_orderstatus = 'O' order by o_orderdate, o_custkey, o_orderkey limit 1")
@@ -161,10 +162,7 @@ def _(t):
 
 
 # --- links ------------------------------------------------------------------------------------------------------------
-_TRACK = "('fbclid','gclid','igshid','mc_cid','mc_eid','ref','si','trk')"
-_CANON = rf"""select page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)
- || case when len(ps) > 0 then '?' || array_to_string(ps, '&') else '' end || case when f <> '' then '#' || f else '' end as canonical
- from (select page_id, url, regexp_extract(url, '#(.*)$', 1) as f, list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not (lower(split_part(p, '=', 1)) in {_TRACK} or starts_with(lower(p), 'utm_') or starts_with(lower(p), 'cp_landing'))) as ps from pages)"""
+_CANON = f"select page_id, canonical from {_canonical('(select page_id, url from pages)')}"
 
 
 @query("link_canonicalize", _CANON)
@@ -172,9 +170,9 @@ def _(t):
     return t("pages").select("page_id", ur.canonical(c("url")).alias("canonical"))
 
 
-@query("link_dedupe_first", f"select page_id, case when page_id <> f then f end as duplicate_of from (select page_id, min(page_id) over (partition by regexp_replace(canonical, '^https?://(www\\.|m\\.)?', '')) as f from ({_CANON}))")
+@query("link_dedupe_first", f"select page_id, case when page_id <> f then f end as duplicate_of from (select page_id, min(page_id) over (partition by canonical) as f from ({_CANON}))")
 def _(t):
-    keyed = t("pages").select("page_id", F.regexp_replace(ur.canonical(c("url")), r"^https?://(www\.|m\.)?", "").alias("k"))
+    keyed = t("pages").select("page_id", ur.canonical(c("url")).alias("k"))
     return state.first_wins(keyed, "k", "page_id").drop("k")
 
 
@@ -183,11 +181,6 @@ def _(t):
     return t("pages").groupBy(ur.bare_host(c("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("handler_route", "select page_id, case when ends_with(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), 'medium.com') then 'medium' else 'document' end as handler from pages")
-def _(t):
-    return t("pages").select("page_id", ur.handler(c("url")).alias("handler"))
-
-
 @query("link_cache_key", f"select page_id, substr(sha256(canonical), 1, 16) as cache_key from ({_CANON})")
 def _(t):
     return t("pages").select("page_id", ur.cache_key(ur.canonical(c("url"))).alias("cache_key"))
@@ -200,7 +193,9 @@ def _(t):
 
 @query("sole_link_flag", "select page_id, count(*) over (partition by lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))) = 1 as sole from pages")
 def _(t):
-    return t("pages").select("page_id", (F.count("*").over(Window.partitionBy(ur.host(c("url")))) == 1).alias("sole"))
+    # counts by partial aggregation: a host with many pages is not one task
+    rows = t("pages").select("page_id", ur.host(c("url")).alias("host"))
+    return rows.join(rows.groupBy("host").agg((F.count("*") == 1).alias("sole")), "host").select("page_id", "sole")
 
 
 @query("html_title_h1", r"select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) as h1 from pages")
@@ -215,12 +210,12 @@ def _(t):
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
-@query("clean_whitespace", r"select doc_id, trim(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), ' +([.,!?;:])', '\1', 'g'), ' ') as clean from documents")
+@query("clean_whitespace", r"select doc_id, trim(regexp_replace(regexp_replace(text, '(\S) {2,}', '\1 ', 'g'), ' +([.,!?;:])', '\1', 'g'), ' ') as clean from documents")
 def _(t):
     return t("documents").select("doc_id", tx.tidy_spaces(c("text")).alias("clean"))
 
 
-@query("hashtag_unwrap", r"select doc_id, regexp_replace(text, '(^|\s)#([A-Za-z_]\w*)', '\1\2', 'g') as clean from documents")
+@query("hashtag_unwrap", r"select doc_id, regexp_replace(regexp_replace(text, '\bhashtag#([a-zA-Z][a-zA-Z0-9_]*)', '\1', 'g'), '(^|\s)#([a-zA-Z][a-zA-Z0-9_]*)', '\1\2', 'g') as clean from documents")
 def _(t):
     return t("documents").select("doc_id", tx.unwrap_hashtags(c("text")).alias("clean"))
 
@@ -240,7 +235,7 @@ def _(t):
     return t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select("doc_id", (c("p") + 1).alias("line_no"), F.length("line").alias("chars"))
 
 
-_STOPS = "('" + "','".join(tx.STOP) + "')"
+_STOPS = "('" + "','".join(x.replace("'", "''") for x in tx.STOP) + "')"
 _TERMS = f"list_filter(regexp_extract_all(lower({{x}}), '[a-z0-9][a-z0-9+.#_-]*'), lambda t: length(t) > 1 and t not in {_STOPS})"
 
 
@@ -252,27 +247,48 @@ def _(t):
 @query("doc_freq_idf", f"with p as (select distinct doc_id, unnest({_TERMS.format(x='text')}) as term from documents) select term, count(*)::bigint as df, round(ln(1 + ((select count(*) from documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from p group by 1")
 def _(t):
     d = t("documents")
-    n = d.count()
-    df = search.postings(d, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
-    return df.select("term", "df", F.round(F.log(1 + (n - c("df") + 0.5) / (c("df") + 0.5)), 6).alias("idf"))
+    terms = d.select(F.explode(F.array_distinct(tx.terms(c("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return terms.crossJoin(F.broadcast(d.agg(F.count("*").alias("n")))).select("term", "df", F.round(search.idf(c("n"), c("df")), 6).alias("idf"))
 
 
-_BM25 = f"""with d as (select doc_id, {_TERMS.format(x='text')} as ts from documents), p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from d) group by 1, 2),
- s as (select doc_id, len(ts) as l from d), w as (select count(*) as n, avg(l) as al from s), f as (select term, count(*) as df from p group by 1), q as (select distinct item_id, unnest({_TERMS.format(x='text')}) as term from benchmark)
- select item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.4 + 0.6 * l / al))), 6) as score from q join f using (term) join p using (term) join s using (doc_id), w group by 1, 2"""
+def _bm25(asked: str) -> str:
+    """SQL: (item_id, doc_id, score) of documents for the queries of asked(item_id, text)."""
+    return f"""(with d as (select doc_id, {_TERMS.format(x='text')} as ts from documents), p as (select doc_id, term, count(*) as tf from (select doc_id, unnest(ts) as term from d) group by 1, 2),
+ s as (select doc_id, len(ts) as l from d), w as (select count(*) as n, avg(l) as al from s), f as (select term, count(*) as df from p group by 1), q as (select distinct item_id, unnest({_TERMS.format(x='text')}) as term from {asked})
+ select item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.4 + 0.6 * l / al))), 6) as score from q join f using (term) join p using (term) join s using (doc_id), w group by 1, 2)"""
 
 
-@query("bm25_top5_documents", f"select item_id, doc_id, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from ({_BM25})) where rank <= 5")
+@query("bm25_top5_documents", f"select item_id, doc_id, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from {_bm25('benchmark')}) where rank <= 5")
 def _(t):
     return search.top(search.bm25(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text"), "item_id", "doc_id", 5).select("item_id", "doc_id", "rank")
 
 
-@query("flagship_nearest_passages")
+@query("bm25_pool_by_corpus", f"""select item_id, lang, doc_id, rank from (select *, row_number() over (partition by item_id, lang order by score desc, doc_id)::int as rank from (select r.*, lang from {_bm25('benchmark')} r join documents using (doc_id) where score > 0)) where rank <= 20""")
+def _(t):
+    found = search.bm25(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text").where("score > 0").join(t("documents").select("doc_id", "lang"), "doc_id")
+    w = Window.partitionBy("item_id", "lang").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("item_id", "lang", "doc_id", "rank")
+
+
+@query("neighbours_under_quotas", f"""with s as (select r.*, coalesce(lang, '') as bucket, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id % 50 as file from {_bm25('benchmark')} r join documents using (doc_id) where score >= 4),
+ f as (select *, row_number() over (partition by item_id, bucket, file order by score desc, doc_id) as k from s)
+ select item_id, bucket, file, doc_id, rank from (select *, row_number() over (partition by item_id, bucket order by score desc, doc_id)::int as rank from f where k = 1) where rank <= 2""")
+def _(t):
+    where = t("documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("bucket"), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), (c("doc_id") % 50).cast("string")).alias("file"))
+    scored = search.bm25(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text").join(where, "doc_id")
+    return search.neighbours(scored, "item_id", "bucket", "file", "doc_id", 4.0).select("item_id", "bucket", "file", "doc_id", "rank")
+
+
+_TITLES = f"""(select page_id as item_id, canonical as url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as text from (select canonical, min(page_id) as page_id from ({_CANON}) group by 1) join (select page_id, html from pages) using (page_id)
+ where trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> '')"""
+
+
+@query("flagship_nearest_passages", f"""select page_id, url, title, doc_id, score, rank from (select item_id as page_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from {_bm25(_TITLES)}) join (select item_id as page_id, url, text as title from {_TITLES}) using (page_id) where rank <= 2""")
 def _(t):
     pages = t("pages").select("page_id", ur.canonical(c("url")).alias("url"), F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
-    kept = state.first_wins(pages, "url", "page_id").where("duplicate_of is null and title <> ''")
+    kept = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "title"), "page_id").alias("r")).select("r.page_id", "url", "r.title").where("title <> ''")
     best = search.top(search.bm25(t("documents"), "doc_id", "text", kept, "page_id", "title"), "page_id", "doc_id", 2)
-    return kept.select("page_id", "url", "title").join(best, "page_id")
+    return kept.join(best, "page_id")
 
 
 @query("jaccard_tokens", r"with s as (select item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) as ts from benchmark) select a.item_id as a, b.item_id as b, round(len(list_intersect(a.ts, b.ts)) / (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts)))::double, 6) as jaccard from s a join s b on b.item_id = a.item_id + 1")
@@ -285,7 +301,7 @@ def _(t):
 
 @query("exact_key_collapse", r"select min(doc_id) as doc_id, count(*)::bigint as n from documents group by lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g'))")
 def _(t):
-    return t("documents").groupBy(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", "")).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("k")
+    return t("documents").groupBy(F.sha2(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", "")), 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("k")
 
 
 @query("label_quality_rollup", "select source, count(*)::bigint as docs, count(l.doc_id)::bigint as labelled, coalesce(sum(quality), 0)::bigint as good, coalesce(sum(toxic), 0)::bigint as toxic from documents d left join labels l using (doc_id) group by 1")

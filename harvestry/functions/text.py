@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in retrieval.
-STOP = tuple("a an and are as at be by for from in is it its of on or that the this to was were will with".split())
+# Words that carry no meaning in retrieval.
+STOP = tuple(
+    """a an the and or but if then than that this these those of in on at to for from by
+    with without as is are was were be been being it its it's he she they them their there here
+    what which who whom how why when where all any both each few more most other some such no nor
+    not only own same so too very can will just don should now about into over under again further
+    i you your my we our us me him her his do does did doing have has had having would could may
+    might must shall me one two also new use used using make makes made get gets got like via per
+    you're we're isn't doesn't""".split()
+)
+# Signs that cleaning replaces, bullets and arrows first.
+SYMBOLS = {
+    "○": "*", "🔹": "*", "🔸": "*", "•": "*", "◾": "*", "▪": "*", "∘": "*", "‣": "*",
+    "👉": "->", "➡": "->", "→": "->", "↳": "->",
+    "“": '"', "”": '"', "’": "'", "‘": "'", "—": "-", "–": "-", "‐": "-",
+}
+BULLETS = "○🔹🔸•◾▪∘‣"  # Fixed value
+# Signs that stay when pictographs go.
+KEPT_SIGNS = ("⭐", "🌟", "✅", "✔", "⚠️", "⚠")
+# Cyrillic letters and the Latin ones they look like.
+LOOKALIKES = {
+    "а": "a", "с": "c", "е": "e", "о": "o", "р": "p", "х": "x", "у": "y", "ѕ": "s", "і": "i",
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "К": "K", "М": "M", "О": "O", "Р": "P", "Т": "T", "Х": "X", "У": "Y",
+}
 
 
 def strip_invisible(x: Column) -> Column:
@@ -15,26 +37,50 @@ def strip_invisible(x: Column) -> Column:
 
 
 def tidy_spaces(x: Column) -> Column:
-    """Single inner spaces, none before closing punctuation or at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(x, " {2,}", " "), " +([.,!?;:])", "$1"))
+    """Single inner spaces (those at a line's start stay), none before closing punctuation or at the ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?<=\S) {2,}", " "), " +([.,!?;:])", "$1"))
 
 
 def separator_line(x: Column) -> Column:
-    """A line of three or more like signs becomes `---`."""
-    return F.when(F.trim(x).rlike(r"^(-{3,}|_{3,}|\*{3,}|={3,}|~{3,})$"), F.lit("---")).otherwise(x)
+    """A line of two or more dashes, equal signs, underscores and dots, with a dash or equal sign among them, becomes `---`."""
+    return F.when(F.trim(x).rlike(r"^[—–\-=_.]{2,}$") & F.trim(x).rlike(r"[—–\-=]"), F.lit("---")).otherwise(x)
 
 
 def bullet_line(x: Column) -> Column:
-    """A bullet sign starts a list item: `-` at the margin, `*` when indented."""
-    mark = F.regexp_extract(x, r"^(\s*)[•▪◦‣·]\s+(.*)$", 1)
-    rest = F.regexp_extract(x, r"^(\s*)[•▪◦‣·]\s+(.*)$", 2)
-    hit = x.rlike(r"^\s*[•▪◦‣·]\s+")
-    return F.when(hit & (F.length(mark) > 0), F.concat(mark, F.lit("* "), rest)).when(hit, F.concat(F.lit("- "), rest)).otherwise(x)
+    """A fancy bullet starts a list item: `-` at the margin, `*` when indented."""
+    pattern = rf"^(\s*)(?:[{BULLETS}])(\s+.*)$"
+    mark, rest = F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)
+    return F.when(x.rlike(pattern), F.concat(mark, F.when(mark == "", "-").otherwise("*"), rest)).otherwise(x)
+
+
+def keycaps(x: Column) -> Column:
+    """Keycap digits become digits."""
+    return F.regexp_replace(F.replace(x, F.lit("🔟"), F.lit("10")), "([0-9])️?⃣", "$1")
+
+
+def symbols(x: Column) -> Column:
+    """Bullets, arrows, curly quotes and dashes as plain signs."""
+    one = {k: v for k, v in SYMBOLS.items() if len(v) == 1}
+    x = F.translate(x, "".join(one), "".join(one.values()))
+    for sign, plain in SYMBOLS.items():
+        if len(plain) > 1:
+            x = F.replace(x, F.lit(sign), F.lit(plain))
+    return x
 
 
 def unwrap_hashtags(x: Column) -> Column:
-    """`#word` after a space or at the start loses its sign; `#1` stays."""
-    return F.regexp_replace(x, r"(^|\s)#([A-Za-z_]\w*)", "$1$2")
+    """`#word` after a space or at the start, and `hashtag#word`, lose their sign; `#1` and fragments of urls stay."""
+    return F.regexp_replace(F.regexp_replace(x, r"\bhashtag#([a-zA-Z][a-zA-Z0-9_]*)", "$1"), r"(?<!\S)#([a-zA-Z][a-zA-Z0-9_]*)", "$1")
+
+
+def hashtag_line(x: Column) -> Column:
+    """A line of nothing but hashtags; outline directives are none."""
+    return (F.trim(x) != "") & ~x.startswith("#+") & F.trim(x).rlike(r"^[\s*•-]*(?:(?:hashtag#|#)[a-zA-Z][a-zA-Z0-9_]*\s*)+$")
+
+
+def directive_line(x: Column) -> Column:
+    """An outline's metadata or comment."""
+    return x.startswith("#+") | x.startswith("# ")
 
 
 def terms(x: Column) -> Column:
@@ -47,15 +93,70 @@ def words(x: Column) -> Column:
     return F.array_remove(F.split(F.trim(x), r"\s+", -1), "")
 
 
+def word_count(x: Column) -> Column:
+    """Words with a letter or digit in them."""
+    return F.size(F.filter(words(x), lambda w: w.rlike(r"[\p{L}\p{N}]")))
+
+
 def cut_at_word(x: Column, limit: int) -> Column:
-    """At most limit characters, cut before the last started word, with an ellipsis."""
-    head = F.regexp_replace(F.substring(x, 1, limit), r"\s+\S*$", "")
-    return F.when(F.length(x) <= limit, x).otherwise(F.concat(head, F.lit("…")))
+    """At most limit characters: cut before the last started word, trailing punctuation gone, with an ellipsis."""
+    head = F.substring(x, 1, limit - 1)
+    whole = F.when(F.contains(head, F.lit(" ")), F.regexp_replace(head, " [^ ]*$", "")).otherwise(head)
+    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.rtrim(whole, F.lit(" ,;:—-")), F.lit("…")))
+
+
+def truncate_words(x: Column, limit: int) -> Column:
+    """At most limit words, cut at a paragraph's end where whole paragraphs fit; ` …` marks a cut."""
+    count = lambda p: F.size(words(p))
+    empty = F.struct(F.lit(0).alias("taken"), F.lit(0).alias("used"), F.lit(False).alias("done"))
+
+    def step(a, p):
+        n = count(p)
+        over = (a["taken"] > 0) & (a["used"] + n > limit)
+        taken, used = F.when(over | a["done"], a["taken"]).otherwise(a["taken"] + 1), F.when(over | a["done"], a["used"]).otherwise(a["used"] + n)
+        return F.struct(taken.alias("taken"), used.alias("used"), (a["done"] | over | (used >= limit)).alias("done"))
+
+    parts = F.split(x, "\n\n", -1)
+    fit = F.aggregate(parts, empty, step)
+    cut = F.concat(strip(F.array_join(F.slice(parts, F.lit(1), fit["taken"]), "\n\n")), F.when(fit["used"] == count(x), "").otherwise(" …"))
+    return F.when(count(x) <= limit, strip(x)).when(fit["used"] <= limit, cut).otherwise(F.concat(F.array_join(F.slice(words(x), 1, limit), " "), F.lit(" …")))
 
 
-def first_words(x: Column, n: int) -> Column:
-    w = words(x)
-    return F.when(F.size(w) <= n, F.array_join(w, " ")).otherwise(F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit(" …")))
+def short_query(x: Column, least: int = 28) -> Column:
+    """Whole sentences until they have `least` words."""
+    empty = F.struct(F.lit(0).alias("taken"), F.lit(0).alias("used"))
+    parts = F.split(x, r"(?<=[.!?])\s", -1)
+    fit = F.aggregate(parts, empty, lambda a, p: F.struct((a["taken"] + F.when(a["used"] < least, 1).otherwise(0)).alias("taken"), (a["used"] + F.when(a["used"] < least, F.size(words(p))).otherwise(0)).alias("used")))
+    return F.array_join(F.slice(parts, F.lit(1), fit["taken"]), " ")
+
+
+def names_nothing(x: Column) -> Column:
+    """Whether a line has no word that says what it is about."""
+    link_only = r"^(?:\[(?:[^\]\\]|\\.)*\]\((?:[^()\\]|\\.)*\)\s*)+$"
+    marked = F.forall(words(x), lambda w: w.rlike(r"^(?:#|@|http://|https://|www\.)"))
+    return ~x.rlike(r"[\p{L}\p{N}]") | x.rlike(link_only) | marked
+
+
+def strip(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def blockquote(x: Column) -> Column:
+    return F.array_join(F.transform(F.split(x, "\n", -1), lambda line: F.when(line == "", ">").otherwise(F.concat(F.lit("> "), line))), "\n")
+
+
+def demote_heading(line: Column) -> Column:
+    """Two levels deeper, six at most."""
+    marks = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
+    return F.when(marks > 0, F.concat(F.repeat(F.lit("#"), F.least(marks + 2, F.lit(6))), line.substr(marks + 1, F.length(line)))).otherwise(line)
+
+
+def escape_label(x: Column) -> Column:
+    return F.regexp_replace(x, r"([\\\[\]*_`])", r"\\$1")
+
+
+def yaml_list(xs: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(xs, yaml_scalar), ", "), F.lit("]"))
 
 
 def yaml_scalar(x: Column) -> Column:
@@ -65,4 +166,14 @@ def yaml_scalar(x: Column) -> Column:
 
 
 def kebab(x: Column) -> Column:
-    return F.lower(F.regexp_replace(x, "([a-z])([A-Z])", "$1-$2"))
+    """An exception's class as a reason."""
+    return F.concat(F.lit("exception-"), F.lower(F.regexp_replace(x, "(?<=[^A-Z])(?=[A-Z])", "-")))
+
+
+def duplicate_layer(x: Column) -> Column:
+    """Text that was drawn twice: at least a fifth of 40 letters or more equal the letter before them."""
+    letters = F.split(F.regexp_replace(F.lower(x), r"\P{L}+", ""), "", -1)
+    letters = F.filter(letters, lambda v: v != "")
+    n = F.size(letters)
+    twin = F.size(F.filter(F.zip_with(F.slice(letters, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(letters, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda e: e))
+    return (n >= 40) & (twin >= 0.2 * n)

@@ -33,16 +33,17 @@ def gap_sessions(rows: DataFrame, keys: list[str], ts: str, tie: str, seconds: f
 
 
 def first_wins(rows: DataFrame, key: str, order: str, out: str = "duplicate_of") -> DataFrame:
-    """Point each row at the earliest row of its key; null for that one."""
-    first = F.min(order).over(Window.partitionBy(key))
-    return rows.withColumn(out, F.when(F.col(order) != first, first))
+    """Point each row at the earliest row of its key; null for that one. The earliest are one aggregation, so a key with many rows is not one task."""
+    first = rows.groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"))
+    met = rows.join(first, rows[key].eqNullSafe(first._k))
+    return met.withColumn(out, F.when(F.col(order) != F.col("_first"), F.col("_first"))).drop("_k", "_first")
 
 
 def budgeted(rows: DataFrame, keys: list[str], order: list[str], many: int = 8, few_budget: int = 5, many_budget: int = 2) -> DataFrame:
     """The first rows of each key within its budget, which is smaller where there are many."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("among", F.count("*").over(w))
-    return ranked.where(F.col("rank") <= F.when(F.col("among") >= many, many_budget).otherwise(few_budget)).drop("among")
+    among = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= max(few_budget, many_budget))
+    return ranked.join(among, keys).where(F.col("rank") <= F.when(F.col("_n") >= many, many_budget).otherwise(few_budget)).drop("_n")
 
 
 def fair_share(rows: DataFrame, keys: list[str], need: str, rank, budget: int) -> DataFrame:
