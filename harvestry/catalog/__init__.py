@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import core, items, links, media, prose  # noqa: F401
+from . import core, items, links, media, prose, views  # noqa: F401
