@@ -13,9 +13,11 @@ TEXT_CHUNK = 8 << 20  # bytes of text that a vectorised kernel holds at once
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where none is set."""
+    """The folder that all executors share, as the session names it; a local one only where none is set and all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = f"file://{tempfile.gettempdir()}/harvestry-checkpoints"
     return path.rstrip("/")
 
