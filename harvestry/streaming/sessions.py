@@ -21,3 +21,15 @@ def sessions(messages: DataFrame, gap: str = "3 seconds", settle: str = "4 secon
         .agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("received_at", "message_id", "content"))).alias("messages"))
         .select("route", "chat_id", F.col("w.start").alias("started"), "n", F.array_join(F.transform("messages", lambda m: m["content"]), "\n\n").alias("body"))
     )
+
+
+def current_messages(messages: DataFrame) -> DataFrame:
+    """The last version of each message, for update mode: an edit, however late, is a new revision and never dropped."""
+    return messages.groupBy("route", "chat_id", "message_id").agg(
+        F.max_by("content", "received_at").alias("content"), F.min("received_at").alias("received_at"), F.max("received_at").alias("edited_at"), F.count("*").alias("revision")
+    )
+
+
+def processor_counters(runs: DataFrame) -> DataFrame:
+    """Running counts of runs(processor, outcome), for update or complete mode."""
+    return runs.groupBy("processor").agg(F.count("*").alias("runs"), *(F.count_if(F.col("outcome") == k).alias(k) for k in ("succeeded", "partial", "failed")))
