@@ -284,3 +284,24 @@ def test_rollup_is_idempotent(docs, tmp_path, spark):
     assert before == counted.groupBy().sum("tokens").first()[0]
     rollup.commit("2", token_rollup.deletes(counted))
     assert rollup.totals().where("n_docs <> 0 or n_tokens <> 0").count() == 0
+
+
+def test_rollup_compacts_and_revises(docs, empty, tmp_path, spark):
+    rollup = token_rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    assert rollup.totals().count() == 0 and rollup.compact() == 0
+    counted = token_rollup.count_documents(docs)
+    rollup.commit("1", token_rollup.inserts(counted))
+    rollup.commit("2", token_rollup.revisions(counted.where("doc_id % 3 = 0")), token_rollup.deletes(counted.where("doc_id % 3 = 1")))
+    expected = {(None, lang, k): [0, 0] for lang in ("en", "fr") for k in token_rollup.TOKENIZERS}
+    for r in counted.collect():
+        if r.doc_id % 3 != 1:
+            expected[None, r.lang, r.tokenizer][0] += 1
+            expected[None, r.lang, r.tokenizer][1] += r.revised if r.doc_id % 3 == 0 else r.tokens
+    totals = lambda: {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()}
+    assert totals() == expected
+    assert rollup.compact() == 2 and totals() == expected
+    assert not rollup.commit("1", token_rollup.inserts(counted)) and rollup.commit("3", token_rollup.inserts(token_rollup.count_documents(empty))) and totals() == expected
+    # a batch that was lost half-way leaves no marker: it is written anew
+    (tmp_path / "r" / "batch=4").mkdir()
+    assert rollup.commit("4", token_rollup.deletes(counted.where("doc_id % 3 <> 1"))) and rollup.compact() == 2
+    assert all(n == 0 for n, _ in totals().values())
