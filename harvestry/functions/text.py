@@ -177,3 +177,17 @@ def duplicate_layer(x: Column) -> Column:
     n = F.size(letters)
     twin = F.size(F.filter(F.zip_with(F.slice(letters, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(letters, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda e: e))
     return (n >= 40) & (twin >= 0.2 * n)
+
+
+def annotate(page: Column, block: str) -> Column:
+    """A page with a block before its problems, or at its end."""
+    head = "\n## Problems"
+    inside = F.replace(page, F.lit(head), F.lit(f"\n{block}\n{head}"))
+    return F.when(F.contains(page, F.lit(head)), inside).otherwise(F.concat(F.rtrim(page, F.lit("\n")), F.lit(f"\n\n{block}\n")))
+
+
+def author_names(json: Column) -> Column:
+    """Names of authors given as a JSON string, an object with a name, or a list of either."""
+    several = F.when(json.startswith("["), json).otherwise(F.concat(F.lit("["), json, F.lit("]")))
+    one = lambda x: F.trim(F.coalesce(F.get_json_object(x, "$.name"), F.when(~x.startswith("{"), x)))
+    return F.filter(F.transform(F.from_json(several, "array<string>"), one), lambda x: x.isNotNull() & (x != ""))
