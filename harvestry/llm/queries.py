@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, pii, simhash, substring_dedup, token_rollup, url_filter, voronoi
+from . import collocations, decontaminate, divergence, langid, line_dedup, ngram_join, packing, pii, simhash, substring_dedup, token_rollup, url_filter, voronoi
 from .common import materialise, shared_dir
 
 #: host, path, verdict
@@ -84,14 +84,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, trees).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_url_filter, op4_simhash, op5_voronoi_knn, op6_line_dedup, op7_decontaminate, op8_packing, op9_token_rollup, op10_language_id)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_url_filter, op4_simhash, op5_voronoi_knn, op6_line_dedup, op7_decontaminate, op8_packing, op9_token_rollup, op10_language_id, op11_divergence, op12_collocations, op13_ngram_join)}
 
 
 _RE = {k: v.replace("'", "''") for k, v in token_rollup.TOKENIZERS.items()}
 _COUNT = "len(regexp_extract_all({x}, '{re}'))"
 
 ORACLE = {
+    "op11_divergence": divergence.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op1_substring_dedup": r"""
         with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
         win as (select doc_id, unnest(range(1, len(ws) - 18)) as s, ws from w where len(ws) >= 20),
