@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import core, details, items, links, media, prose, views  # noqa: F401
+from . import core, details, items, links, markup, media, prose, views  # noqa: F401
