@@ -2,7 +2,8 @@
 
 Texts are cut into pieces, and equal pieces are counted once with a multiplicity, so that boilerplate costs one piece.
 Each task takes the n-grams of its pieces apart, adds up what it has and deals sorted, compressed runs of them to hash
-buckets. In each bucket duckdb adds the runs up: it reads them one after the other and spills its hash table to the
+buckets. Three words are only counted where both pairs in them may be frequent, by a bitmap of fixed size over the
+frequent pairs' hashes; its false hits cost work alone, as their exact count drops them. In each bucket duckdb adds the runs up: it reads them one after the other and spills its hash table to the
 task's spill folder where its memory limit asks for it, so a bucket may be larger than memory. Frequent phrases are
 written; candidates then ask for the counts of their parts by lookup requests that are shuffled to the part's row, and
 tell their own parts that a longer candidate covers them in the same way.
@@ -13,7 +14,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,10 @@ LEAST = 10
 COVERED = 50  # percent of a candidate's occurrences inside a longer one that drop it
 TOP = 2000
 HELD = 16 << 20  # bytes of distinct pieces that a task holds before it hands them on
-CHUNK = 2 << 20  # bytes of pieces whose n-grams are added up together
-BUCKET = 4_000_000  # n-grams of pieces that a bucket aims at
+CHUNK = 8 << 20  # bytes of pieces whose n-grams are added up together
+BUCKET = 2_000_000  # words and pairs of pieces that a bucket aims at, so that its table fits the limit below
 MEMORY = "256MB"  # of a bucket's counting; the rest of its table spills
+FILTER_BITS = 27  # places of the bitmap of frequent shorter phrases, as a power of two: 16 MB travel to each worker
 FOLDS = (1024, 32, 1)  # groups of a language that are ranked by themselves, step by step
 
 #: A-Z fold, `[.,;:!?\x0A-\x0D]` become newlines; between them only spaces and tabs separate words.
@@ -67,47 +71,83 @@ def _pieces(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(cut, "lang string, piece string, times long").groupBy("lang", "piece").agg(F.sum("times").alias("times"))
 
 
-def _grams(pieces: pa.Array, times: np.ndarray, longest: int):
-    """(words, phrases, weights, digests) of the distinct n-grams of pieces, in the order of their words; digests only deal them out."""
+def _words(pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of pieces in order, their digests, each word's place among them, and the pieces' lengths in words."""
     split = pc.split_pattern(pieces, " ")
     words = split.flatten().dictionary_encode()
     by = pc.sort_indices(words.dictionary).to_numpy().astype(np.int64)
     vocabulary = words.dictionary.take(pa.array(by))
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
-    ids = rank[words.indices.to_numpy()]
-    size = pc.list_value_length(split).to_numpy().astype(np.int64)
-    weight = np.repeat(times, size)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(ids))  # words from here to the end of the piece
     off = np.frombuffer(vocabulary.buffers()[1], np.int32)[vocabulary.offset : vocabulary.offset + len(by) + 1].astype(np.int64)
     digest = word_digests(np.frombuffer(vocabulary.buffers()[2], np.uint8), off[:-1], off[1:])
-    base, key = len(by), np.zeros(len(ids), np.int64)
-    for n in range(1, longest + 1):
+    return vocabulary, digest, rank[words.indices.to_numpy()], pc.list_value_length(split).to_numpy().astype(np.int64)
+
+
+def _hashes(digest: np.ndarray, begin: np.ndarray, n: int, lang: str) -> np.ndarray:
+    """Hashes of the n words from each of begin on; digest: of all words in their order. They deal phrases out and never tell them apart."""
+    out = np.full(len(begin), n + (zlib.crc32(lang.encode()) << 8), np.uint64)
+    for i in range(n):
+        out = mix64(out * np.uint64(0xD1342543DE82EF95) + digest[begin + i])
+    return out
+
+
+def _grams(pieces: pa.Array, times: np.ndarray, lang: str, lengths: range, frequent: np.ndarray | None):
+    """(words, phrases, weights, hashes) of the distinct n-grams of pieces, in the order of their words.
+
+    With a bitmap, n-grams whose first or last n - 1 words are in none of its places are left out.
+    """
+    vocabulary, digest, ids, size = _words(pieces)
+    weight = np.repeat(times, size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(ids))  # words from here to the end of the piece
+    spelt = digest[ids]
+    for n in lengths:
         fit = np.flatnonzero(left >= n)
+        if frequent is not None:
+            for shift in (0, 1):
+                at = (_hashes(spelt, fit + shift, n - 1, lang) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                fit = fit[frequent[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
         if not len(fit):
-            return
-        key[fit] = key[fit] * base + ids[fit + n - 1]
-        found = key[fit]
-        by = np.argsort(found, kind="stable")
-        found = found[by]
+            continue
+        key = np.zeros(len(fit), np.int64)
+        for i in range(n):
+            key = key * len(vocabulary) + ids[fit + i]
+        by = np.argsort(key, kind="stable")
+        found = key[by]
         head = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-        total = np.add.reduceat(weight[fit][by], head)
-        found = found[head]
-        parts = [found // base**i % base for i in reversed(range(n))]
-        deal = np.full(len(found), n, np.uint64)
-        for part in parts:
-            deal = mix64(deal * np.uint64(0xD1342543DE82EF95) + digest[part])
-        taken = [vocabulary.take(pa.array(part)) for part in parts]
-        yield n, pc.binary_join_element_wise(*taken, " ") if n > 1 else taken[0], total, deal
+        first = fit[by[head]]
+        taken = [vocabulary.take(pa.array(ids[first + i])) for i in range(n)]
+        yield n, pc.binary_join_element_wise(*taken, " ") if n > 1 else taken[0], np.add.reduceat(weight[fit[by]], head), _hashes(spelt, first, n, lang)
+
+
+def _bitmap(counts: DataFrame, words: int) -> np.ndarray:
+    """The places of the hashes of all phrases of so many words; at most 2 ** (FILTER_BITS - 6) numbers reach the driver."""
 
+    def places(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for lang in pc.unique(table.column("lang")):
+                own = table.filter(pc.equal(table.column("lang"), lang)).column("phrase").combine_chunks()
+                own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+                _, digest, ids, size = _words(own)
+                at = _hashes(digest[ids], np.cumsum(size) - size, words, lang.as_py()) >> np.uint64(64 - FILTER_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    rows = counts.where(F.col("words") == words).select("lang", "phrase").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint8)
 
-def _runs(pieces: DataFrame, buckets: int, longest: int) -> DataFrame:
+
+def _runs(pieces: DataFrame, buckets: int, lengths: range, frequent: np.ndarray | None = None) -> DataFrame:
     """(bucket, lang, words, grams): sorted runs of n-grams with their weights, Arrow streams under zstd."""
 
+    shared = pieces.sparkSession.sparkContext.broadcast(frequent)
+
     def dealt(table: pa.Table):
         for lang in pc.unique(table.column("lang")):
             own = table.filter(pc.equal(table.column("lang"), lang)).combine_chunks()
-            for n, phrases, total, deal in _grams(own.column("piece").chunk(0), own.column("times").chunk(0).to_numpy(), longest):
+            for n, phrases, total, deal in _grams(own.column("piece").chunk(0), own.column("times").chunk(0).to_numpy(), lang.as_py(), lengths, shared.value):
                 bucket = (deal % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
@@ -188,8 +228,11 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int =
     words = F.char_length("piece") - F.char_length(F.replace("piece", F.lit(" "), F.lit(""))) + 1
     langs = pieces.groupBy("lang").agg(F.sum(F.col("times") * words).alias("n"), F.sum(words).alias("distinct"))
     total = langs.agg(F.sum("distinct")).first()[0] or 0
-    buckets = total * longest // bucket + 1
-    counts = materialise(_counts(_runs(pieces, buckets, longest), buckets, least), "phrases")
+    buckets = 2 * total // bucket + 1
+    written = [materialise(_counts(_runs(pieces, buckets, range(1, 3)), buckets, least), "phrases")]
+    for n in range(3, longest + 1):
+        written.append(materialise(_counts(_runs(pieces, buckets, range(n, n + 1), _bitmap(written[-1], n - 1)), buckets, least), "phrases"))
+    counts = reduce(DataFrame.unionByName, written)
     candidates = counts.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
     cuts = F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")
     both = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.expr("substring_index(phrase, ' ', k)").alias("part")), F.struct(F.lit("r").alias("side"), F.expr("substring_index(phrase, ' ', k - words)").alias("part")))).alias("ask")
@@ -209,7 +252,7 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int =
         scored = scored.join(cover, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {COVERED} * a").drop("longer")
     best = _top(scored, top).join(langs.select("lang", "n"), "lang")
     out = materialise(best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
-    for table in (pieces, counts):
+    for table in (pieces, *written):
         drop_table(table)
     return out
 
