@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as ur
 from ..operators import links as lk
+from ..operators import redirects
 from ..registry import query
 
 c = F.col
@@ -229,3 +230,25 @@ def _(t):
     rows = _canonicals(t).select(ur.handler(c("canonical")).alias("handler"), F.expr(_STATUS).alias("status"), "canonical")
     n = rows.groupBy("handler", "status").agg(F.count("*").alias("n"), F.countDistinct("canonical").alias("targets"))
     return n.withColumn("share", F.round(100.0 * c("n") / F.sum("n").over(Window.partitionBy("handler")), 2))
+
+
+#: What each page answers: a hop to the next page of its host (the last leads to the first), a refresh, an error, no destination, or itself.
+_HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
+_ANSWERS = f"""select page_id, url, case page_id % 8 when 5 then 404 when 6 then case when page_id % 16 = 6 then 302 else 200 end when 0 then 200 when 7 then 200 when 3 then 200 else 301 end as status, case when page_id % 8 in (1, 2, 4) then next_url end as location,
+ case when page_id % 8 = 3 then next_url end as target, case page_id % 8 when 7 then 'application/octet-stream' else 'text/html' end as content_type, case when page_id % 8 = 0 then 'Page ' || page_id end as title
+ from (select page_id, url, coalesce(lead(url) over (partition by host order by page_id), first_value(url) over (partition by host order by page_id)) as next_url from (select page_id, url, {_HOST} as host from pages))"""
+
+
+@query("redirect_chains", f"""with recursive a as (select url, min({{'status': status, 'location': location, 'target': target, 'content_type': content_type, 'title': title}}) as p from ({_ANSWERS}) group by 1),
+ r(start, current, stops, reason, title) as (select distinct url, url, []::varchar[], null::varchar, null::varchar from a
+  union all select start, case when reason is null then nxt else current end, stops, reason, title from (
+   select start, current, list_append(r.stops, current) as stops, coalesce(p['location'], p['target'], current) as nxt,
+    case when len(list_filter(r.stops, lambda s: s = current)) >= 2 then 'redirect-loop' when p['status'] in (301, 302) and p['location'] is null then 'destination-not-found' when p['status'] in (301, 302) then null
+     when p['status'] >= 400 then 'http-error' when p['content_type'] = 'application/octet-stream' then 'unsupported-content' when p['target'] is not null and p['target'] <> current then null when p['title'] is not null then 'ok' else 'title-not-found' end as reason,
+    p['title'] as title from r join a on a.url = current where r.reason is null and len(r.stops) < 10))
+ select start as url, current as final_url, case when reason = 'ok' then title end as title, case when reason is null then 'redirect-limit' when reason <> 'ok' then reason end as reason, (len(stops) - 1)::int as hops
+ from r where reason is not null or len(stops) = 10""")
+def _(t):
+    session = t("pages").sparkSession
+    answers = session.sql(_ANSWERS.replace("from pages", "from {pages}"), pages=t("pages")).select("url", F.lit(None).cast("string").alias("final_url"), "status", "location", "target", "content_type", F.lit(None).cast("long").alias("bytes"), "title")
+    return redirects.resolve(t("pages"), answers).drop("message")

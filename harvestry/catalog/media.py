@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import alike
 from ..functions import media as me
 from ..functions import urls as ur
+from ..operators import frames as fr
+from ..operators import fuzzy
 from ..registry import query
 
 c = F.col
@@ -54,7 +57,7 @@ def _(t):
 
 @query("merged_segments", f"""select user_id, lower(regexp_replace({_TEXT}, '[^A-Za-z0-9_]+', '', 'g')) as key, count(*)::bigint as observations, max(value) as confidence, min(ts) as first_seen, max(ts) as last_seen, arg_max(event_id, (ts, event_id)) as box_of, arg_min(event_id, event_id) as first from events group by 1, 2""")
 def _(t):
-    rows = t("events").withColumn("key", me.text_key(F.expr(_TEXT)))
+    rows = t("events").withColumn("key", alike.text_key(F.expr(_TEXT)))
     return rows.groupBy("user_id", "key").agg(F.count("*").alias("observations"), F.max("value").alias("confidence"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max_by("event_id", F.struct("ts", "event_id")).alias("box_of"), F.min("event_id").alias("first"))
 
 
@@ -126,15 +129,56 @@ def _(t):
     """Precision, recall and F1 by common words of each answer against its question, and their mean by length class."""
     x = t("conversations")
     pair = x.where("role = 'user'").select("conv_id", "turn", F.lower("text").alias("a")).join(x.where("role = 'assistant'").select("conv_id", (c("turn") - 1).alias("turn"), F.lower("text").alias("b")), ["conv_id", "turn"])
-    sized = pair.withColumns({"lcs": me.common_words("a", "b"), "n": F.size(F.split("a", " ", -1)), "m": F.size(F.split("b", " ", -1))})
+    sized = pair.withColumns({"lcs": alike.common_words("a", "b"), "n": F.size(F.split("a", " ", -1)), "m": F.size(F.split("b", " ", -1))})
     scored = sized.withColumns({"precision": c("lcs") / c("m"), "recall": c("lcs") / c("n"), "f1": 2 * c("lcs") / (c("n") + c("m"))})
     return scored.groupBy(F.expr("n div 20").alias("class")).agg(F.count("*").alias("pairs"), *(F.round(F.avg(k), 6).alias(k) for k in ("precision", "recall", "f1")))
 
 
 @query("evolving_texts")
 def _(t):
-    """Neighbouring pages' titles that are states of one text, with their similarity."""
-    title = me.text_key(F.substring(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), 1, 40))
-    p = t("pages").select("page_id", title.alias("a"))
-    q = p.select((c("page_id") - 1).alias("page_id"), c("a").alias("b"))
-    return p.join(q, "page_id").select("page_id", F.round(me.ratio(c("a"), c("b")), 4).alias("ratio"), me.evolving(c("a"), c("b")).alias("evolving"))
+    """Titles of pages that follow each other on a host: whether they are states of one text, and their similarity."""
+    title = alike.text_key(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1))
+    before = F.lag("b").over(Window.partitionBy("host").orderBy("page_id"))
+    p = t("pages").select("page_id", ur.bare_host(c("url")).alias("host"), title.alias("b")).select("page_id", before.alias("a"), "b").where("a is not null")
+    return p.select("page_id", F.round(alike.similarity(c("a"), c("b")), 4).alias("ratio"), alike.evolving(c("a"), c("b")).alias("evolving"))
+
+
+_HEAD = r"substr(regexp_replace(text, '[^A-Za-z]+', '', 'g'), 1, 40)"
+_SHOWN = f"(select 'd' || doc_id as media, {_HEAD} as head, source from documents where length({_HEAD}) >= 20)"
+
+
+@query("merged_frames", f"""select media, 1 as n, head as text, 0.9::double as confidence, 0.0::double as first, 20.0::double as last, 6 as seen from {_SHOWN}
+ union all select media, 2, source, 0.8, 0.0, 0.4, 5 from {_SHOWN} where source is not null""")
+def _(t):
+    """Each document's head, revealed a fifth at a time, and after a cut once more; its source stands above."""
+    head = F.substring(F.regexp_replace("text", "[^A-Za-z]+", ""), 1, 40)
+    docs = t("documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("media"), head.alias("head"), "source").where(F.length("head") >= 20)
+    frames = docs.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("frame"))
+    time = F.when(c("frame") < 5, c("frame") / 10).otherwise(20.0)
+    size = F.when(c("frame") < 4, F.floor(F.length("head") * (c("frame") + 1) / 5)).otherwise(F.length("head")).cast("int")
+    box = lambda *x: F.array(*(F.lit(v) for v in x))
+    lines = [
+        F.struct(F.lit(0).alias("line"), c("head").substr(F.lit(1), size).alias("text"), F.lit(0.9).alias("confidence"), box(0.1, 0.2, 0.5, 0.1).alias("box")),
+        F.when(c("frame") < 5, F.struct(F.lit(1).alias("line"), c("source").alias("text"), F.lit(0.8).alias("confidence"), box(0.1, 0.8, 0.3, 0.1).alias("box"))),
+    ]
+    rows = frames.select("media", "frame", time.alias("time"), F.explode(F.array_compact(F.array(*lines))).alias("l")).select("media", "frame", "time", "l.*")
+    return fr.segments(rows).select("media", "n", "text", "confidence", "first", "last", "seen")
+
+
+@query("alike_heads")
+def _(t):
+    """Documents' first 60 letters that are nearly alike, by language and source; tested against all pairs."""
+    rows = t("documents").select("lang", "source", F.substring(F.regexp_replace("text", "[^A-Za-z]+", ""), 1, 60).alias("head")).where("lang is not null and source is not null")
+    return fuzzy.alike_pairs(rows, ["lang", "source"], "head").withColumn("ratio", F.round("ratio", 6))
+
+
+_WORDS = r"(select lang, list_distinct(regexp_extract_all(text, '\pL+')) as ws from documents where lang is not null)"
+
+
+@query("words_to_read", f"""with s as (select distinct lang, replace(lower(w), 'ß', 'ss') as key from (select lang, unnest(ws) as w from {_WORDS})), k as (select * from s where length(key) <= 12)
+ select lang, key from k a where not exists (select 1 from k b where a.lang = b.lang and length(b.key) > length(a.key) and contains(b.key, a.key))""")
+def _(t):
+    """Words of up to twelve letters that are part of no other one of their language."""
+    words = t("documents").where("lang is not null").select(c("lang").alias("media"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\pL+"), F.lit(0)))).alias("text")).distinct()
+    kept = fr.worth_reading(words.withColumn("n", F.xxhash64("text")), F.length(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))) <= 12)
+    return kept.select(c("media").alias("lang"), alike.text_key(c("text")).alias("key"))

@@ -7,18 +7,19 @@ import unicodedata
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import scanner
 from .text import BULLETS, KEPT_SIGNS, LOOKALIKES, SYMBOLS
 from .urls import UNWANTED
 
 INVISIBLE = re.compile("[­​-‍⁠﻿]")
-#: Pictographs by code block; no list of single signs is at hand, so some symbols that are no emoji go too.
-PICTOGRAPH = re.compile("[\U0001f000-\U0001faff☀-➿⬅-⭕⌚-⏿▪-◾⤴⤵〰〽™ℹ][️‍\U0001f3fb-\U0001f3ff]*")
+#: One pictograph as Unicode's emoji data has it: a flag, or an emoji with its variation and skin tone and what is joined to it.
+PICTOGRAPH = regex.compile(r"\p{Regional_Indicator}{2}|(?![0-9#*])\p{Emoji}(?:\uFE0F|\p{Emoji_Modifier})?(?:\u200D(?![0-9#*])\p{Emoji}(?:\uFE0F|\p{Emoji_Modifier})?)*")
 HASHTAGS = re.compile(r"(?:[*•\-\s]*)(?:(?:hashtag)?#[a-zA-Z]\w*\s*)+", re.A)
 WORD = re.compile(r"\b[a-zA-Z0-9Ѐ-ӿ]+\b")
-URL = re.compile(r"https?://[^\s<>\"\]]+", re.I)
 
 
 def latin(word: str) -> str:
@@ -34,15 +35,6 @@ def untracked(url: str) -> str:
     return urlunsplit(parts._replace(query=urlencode(kept))) if parts.query else url
 
 
-def _url(m: re.Match) -> str:
-    whole = m[0]
-    bare = whole.rstrip(".,;:!?'")
-    for left, right in ("()", "{}"):
-        while bare.endswith(right) and bare.count(right) > bare.count(left):
-            bare = bare[:-1]
-    return untracked(bare) + whole[len(bare):]
-
-
 def prose(text: str) -> str:
     """A line's words: one script, plain signs, no pictographs, hashtags or trackers, single spaces."""
     text = re.sub("([0-9])️?⃣", r"\1", text.replace("\U0001f51f", "10"))
@@ -51,7 +43,7 @@ def prose(text: str) -> str:
         text = text.replace(sign, plain)
     text = PICTOGRAPH.sub(lambda m: m[0] if m[0] in KEPT_SIGNS else "", text)
     text = re.sub(r"\bhashtag#([a-zA-Z]\w*)|(?<!\S)#([a-zA-Z]\w*)", lambda m: m[1] or m[2], text, flags=re.A)
-    text = URL.sub(_url, text)
+    text = scanner.redirected(text, untracked)
     return re.sub(" +([.,!?;:])", r"\1", re.sub(r"(?<=\S) {2,}", " ", text)).strip()
 
 

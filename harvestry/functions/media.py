@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 # Titles that only say that something went wrong.
 GENERIC_TITLES = (
@@ -72,8 +69,14 @@ def published(numbers: list[Column], texts: list[Column]) -> Column:
 
 def utc_moment(text: Column) -> Column:
     """A moment with an offset in UTC, to the second; null without an offset."""
-    ok = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.]+(?:Z|[+-][0-9]{2}:[0-9]{2})$")
-    return F.when(ok, F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    iso = r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})[T ]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,][0-9]+)?)?)?(?:[Zz]|([+-])([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2}))?)?)$"
+    part = lambda i: F.regexp_extract(text, iso, i)
+    number = lambda i: F.when(part(i) == "", 0).otherwise(part(i).cast("int"))
+    local = F.try_to_timestamp(F.concat_ws(" ", F.concat_ws("-", part(1), part(2), part(3)), F.concat(part(4), *(F.concat(F.lit(":"), F.lpad(part(i), 2, "0")) for i in (5, 6)), F.lit("+00:00"))))
+    # an offset of its own hours, minutes and seconds, below a day
+    offset = (number(8) * 3600 + number(9) * 60 + number(10)) * F.when(part(7) == "-", -1).otherwise(1)
+    ok = text.rlike(iso) & (number(8) < 24) & (number(9) < 60) & (number(10) < 60)
+    return F.when(ok, F.date_format(F.timestamp_seconds(F.unix_seconds(local) - offset), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def language_base(x: Column) -> Column:
@@ -115,44 +118,3 @@ def refresh_target(html: Column) -> Column:
     meta = F.regexp_extract(html, r"""(?is)<meta\s+http-equiv="refresh"\s+content="[^"]*?url\s*=\s*'?([^"']+)""", 1)
     script = F.regexp_extract(html, r"""(?is)<script[^>]*>\s*(?:window\s*\.\s*)?location(?:\s*\.\s*href)?\s*=\s*['"]([^'"]+)['"]\s*;?\s*</script>""", 1)
     return F.when(meta != "", F.trim(meta)).when(script != "", script)
-
-
-def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a row at a time."""
-    code = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = (np.array([code[w] for w in s], np.int64) for s in (a, b))
-    row = np.zeros(len(y) + 1, np.int64)
-    for v in x:
-        row[1:] = np.maximum(row[1:], row[:-1] + (y == v))
-        np.maximum.accumulate(row, out=row)
-    return int(row[-1])
-
-
-@F.pandas_udf(LongType())
-def common_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Words of two texts' longest common subsequence."""
-    return pd.Series([_common((x or "").split(), (y or "").split()) for x, y in zip(a, b)], dtype="int64")
-
-
-@F.pandas_udf(LongType())
-def common_signs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_common(list(x or ""), list(y or "")) for x, y in zip(a, b)], dtype="int64")
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """Similarity from 0 to 100 by insertions and deletions."""
-    n = F.length(a) + F.length(b)
-    return F.when(n == 0, 100.0).otherwise(200.0 * common_signs(a, b) / n)
-
-
-def text_key(x: Column) -> Column:
-    """What stays of a text of plain letters when case, spaces and signs go."""
-    return F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}_]+", ""))
-
-
-def evolving(a: Column, b: Column) -> Column:
-    """Whether two keys are states of one text: one starts or ends the other, or they differ little."""
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    part = F.startswith(long, short) | (F.endswith(long, short) & (F.length(short) > 2))
-    alike = (F.length(short) > 2) & (ratio(a, b) >= F.when(F.length(short) <= 4, 67).otherwise(72))
-    return (a != "") & (b != "") & (part | alike)

@@ -39,6 +39,7 @@ SHORTENER_SUFFIXES = (".trib.al", ".safelinks.protection.outlook.com")
 PRIORITY = {"research": 1, "sole": 2, "repository": 3, "document": 4, "nested": 5, "deprioritized": 9}
 
 _HEAD = "^[A-Za-z][A-Za-z0-9+.-]*://"
+_HOST = r"(?:\[[^\]/?#]*\]|[^/?#:@]*)"  # an address of the sixth version stands in brackets
 
 
 def scheme(u: Column) -> Column:
@@ -50,12 +51,12 @@ def authority(u: Column) -> Column:
 
 
 def host(u: Column) -> Column:
-    """Lower-cased, without credentials and port."""
-    return F.lower(F.regexp_extract(u, f"{_HEAD}(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    """Lower-cased, without credentials and port; an address in brackets keeps them."""
+    return F.lower(F.regexp_extract(u, f"{_HEAD}(?:[^/?#@]*@)?({_HOST})", 1))
 
 
 def port(u: Column) -> Column:
-    return F.regexp_extract(u, f"{_HEAD}(?:[^/?#@]*@)?[^/?#:@]*:([0-9]+)", 1)
+    return F.regexp_extract(u, f"{_HEAD}(?:[^/?#@]*@)?{_HOST}:([0-9]+)", 1)
 
 
 def bare_host(u: Column) -> Column:
@@ -334,3 +335,58 @@ def failure_reason(message: Column) -> Column:
 
 def failing_status(reason: Column) -> Column:
     return F.when(reason.isin("access-blocked", "auth-wall", "login-required"), "blocked").otherwise("failed")
+
+
+def _plain_path(p: Column) -> Column:
+    """A path without `.` and `..` segments."""
+    parts = F.split(p, "/", -1)
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)).when(x == ".", a).otherwise(F.array_append(a, x)),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def joined(base: Column, reference: Column) -> Column:
+    """The address that a reference on a page of `base` leads to; an empty one leads to the page itself."""
+    root = F.concat(scheme(base), F.lit("://"), authority(base))
+    own = F.regexp_extract(reference, "^([^?#]*)", 1)
+    tail = F.substring(reference, F.length(own) + 1, F.length(reference))
+    folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
+    asked = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    return (
+        F.when(scheme(reference) != "", reference).when(reference.startswith("//"), F.concat(scheme(base), F.lit(":"), reference))
+        .when(own.startswith("/"), F.concat(root, _plain_path(own), tail)).when(own != "", F.concat(root, _plain_path(F.concat(folder, own)), tail))
+        .when(tail.startswith("?"), F.concat(root, path(base), tail)).otherwise(F.concat(root, path(base), asked, tail))
+    )
+
+
+#: Blocks of addresses of the fourth version that are not public, and the few public ones inside them.
+PRIVATE_BLOCKS = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
+)
+PUBLIC_ADDRESSES = ("192.0.0.9", "192.0.0.10")
+
+
+def _number(dotted: Column) -> Column:
+    parts = F.split(dotted, r"\.", -1)
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + F.try_to_number(x, F.lit("999")).cast("long"))
+
+
+def unsafe(u: Column) -> Column:
+    """Why a url must not be fetched, else null; names are not looked up, and of the sixth version only its public block passes."""
+    h, number = F.rtrim(host(u), F.lit(".")), port(u)
+    dotted = h.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}$")
+    inside = F.lit(False)
+    for block in PRIVATE_BLOCKS:
+        first, bits = block.split("/")
+        low = sum(int(x) << 8 * (3 - i) for i, x in enumerate(first.split(".")))
+        inside = inside | _number(h).between(low, low + 2 ** (32 - int(bits)) - 1)
+    six = h.startswith("[")
+    private = (dotted & inside & ~h.isin(*PUBLIC_ADDRESSES)) | (six & ~h.rlike(r"^\[[23][0-9a-f]{3}:")) | six & h.rlike(r"^\[2001:(?:0?db8|[0-9a-f]{1,2}|0[01][0-9a-f]{2}):") | (h == "localhost")
+    return (
+        F.when(~scheme(u).isin("http", "https"), "only HTTP and HTTPS URLs are supported").when(F.contains(authority(u), F.lit("@")), "credential-bearing URLs are not allowed").when(h == "", "URL has no hostname")
+        .when((number != "") & ~F.coalesce(F.try_to_number(number, F.lit("99999")).between(1, 65535), F.lit(False)), "URL port is outside the valid range")
+        .when(private, "destination does not resolve exclusively to public addresses")
+    )
