@@ -260,14 +260,13 @@ def _bm25(asked: str) -> str:
 
 @query("bm25_top5_documents", f"select item_id, doc_id, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from {_bm25('benchmark')}) where rank <= 5")
 def _(t):
-    return search.top(search.bm25(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text"), "item_id", "doc_id", 5).select("item_id", "doc_id", "rank")
+    return search.bm25_best(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text", 5).select("item_id", "doc_id", "rank")
 
 
 @query("bm25_pool_by_corpus", f"""select item_id, lang, doc_id, rank from (select *, row_number() over (partition by item_id, lang order by score desc, doc_id)::int as rank from (select r.*, lang from {_bm25('benchmark')} r join documents using (doc_id) where score > 0)) where rank <= 20""")
 def _(t):
-    found = search.bm25(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text").where("score > 0").join(t("documents").select("doc_id", "lang"), "doc_id")
-    w = Window.partitionBy("item_id", "lang").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("item_id", "lang", "doc_id", "rank")
+    found = search.bm25_best(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text", 20, "lang")
+    return found.where("score > 0").select("item_id", "lang", "doc_id", "rank")
 
 
 @query("neighbours_under_quotas", f"""with s as (select r.*, coalesce(lang, '') as bucket, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id % 50 as file from {_bm25('benchmark')} r join documents using (doc_id) where score >= 4),
@@ -287,7 +286,7 @@ _TITLES = f"""(select page_id as item_id, canonical as url, trim(regexp_extract(
 def _(t):
     pages = t("pages").select("page_id", ur.canonical(c("url")).alias("url"), F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
     kept = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "title"), "page_id").alias("r")).select("r.page_id", "url", "r.title").where("title <> ''")
-    best = search.top(search.bm25(t("documents"), "doc_id", "text", kept, "page_id", "title"), "page_id", "doc_id", 2)
+    best = search.bm25_best(t("documents"), "doc_id", "text", kept, "page_id", "title", 2)
     return kept.join(best, "page_id")
 
 
