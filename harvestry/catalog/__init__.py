@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import chat, core, details, items, links, markup, media, prose, views  # noqa: F401
+from . import chat, core, details, items, links, markup, media, plans, prose, views  # noqa: F401
