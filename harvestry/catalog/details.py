@@ -38,9 +38,9 @@ def _(t):
     return t("events").where("value is not null").withColumn("g", gap).select("user_id", "event_id", F.sum("g").over(w).alias("row"))
 
 
-@query("adjacent_equal_ratio", "with l as (select doc_id, unnest(string_split(x, '')) as ch, generate_subscripts(string_split(x, ''), 1) as k from (select doc_id, lower(regexp_replace(substr(text, 1, 400), '[^A-Za-z]', '', 'g')) as x from documents) where length(x) >= 40), p as (select doc_id, ch = lag(ch) over (partition by doc_id order by k) as twin from l) select doc_id, count(*) filter (twin) >= 0.2 * count(*) as doubled from p group by 1")
+@query("adjacent_equal_ratio", "with l as (select doc_id, unnest(string_split(x, '')) as ch, generate_subscripts(string_split(x, ''), 1) as k from (select doc_id, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) as x from documents) where length(x) >= 40), p as (select doc_id, ch = lag(ch) over (partition by doc_id order by k) as twin from l) select doc_id, count(*) filter (twin) >= 0.2 * count(*) as doubled from p group by 1")
 def _(t):
-    x = F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z]", "")
+    x = F.regexp_replace("text", "[^A-Za-z]", "")
     return t("documents").where(F.length(x) >= 40).select("doc_id", tx.duplicate_layer(x).alias("doubled"))
 
 
@@ -83,10 +83,10 @@ def _(t):
     return author.join(comment, "conv_id").where(same).select("conv_id", "turn")
 
 
-@query("neighbour_queries", r"""select page_id, concat_ws('. ', nullif(title, ''), note, array_to_string(list_filter(regexp_split_to_array(lead, '\s+'), lambda w: w <> '')[1:12], ' ')) as query from (select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, case when page_id % 2 = 0 then 'note ' || page_id end as note, regexp_replace(html, '<[^>]*>', ' ', 'g') as lead from pages)""")
+@query("neighbour_queries", r"""select page_id, concat_ws('. ', nullif(title, ''), note, array_to_string(list_filter(regexp_split_to_array(lead, '\s+'), lambda w: w <> '')[1:120], ' ')) as query from (select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, case when page_id % 2 = 0 then 'note ' || page_id end as note, regexp_replace(html, '<[^>]*>', ' ', 'g') as lead from pages)""")
 def _(t):
     title = F.nullif(F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-    lead = F.array_join(F.slice(tx.words(F.regexp_replace("html", "<[^>]*>", " ")), 1, 12), " ")
+    lead = F.array_join(F.slice(tx.words(F.regexp_replace("html", "<[^>]*>", " ")), 1, 120), " ")
     return t("pages").select("page_id", F.concat_ws(". ", title, F.when(c("page_id") % 2 == 0, F.concat(F.lit("note "), c("page_id").cast("string"))), lead).alias("query"))
 
 

@@ -196,11 +196,12 @@ def _(t):
                                 rows.withColumns({"unfinished": c("status") == "failed", "reason": c("status")}), "item")
 
 
-@query("extraction_order", f"""select e.n, row_number() over (order by coalesce(l.priority, 99), e.n)::int as place from (select n from {_ROWS} where n % 2 = 0 and n < 60) e left join (select n, priority from {_ROWS} where n % 3 = 0) l using (n)""")
+@query("extraction_order", f"""select e.n, e.n // 9 as item, row_number() over (partition by e.n // 9 order by coalesce(l.priority, 99), e.n)::int as place from (select n from {_ROWS} where n % 2 = 0) e left join (select n, priority from {_ROWS} where n % 3 = 0) l using (n)""")
 def _(t):
     rows = _rows(t)
-    e = rows.where("n % 2 = 0 and n < 60").select("n").join(rows.where("n % 3 = 0").select("n", "priority"), "n", "left")
-    return e.select("n", F.row_number().over(Window.orderBy(F.coalesce("priority", F.lit(99)), "n")).alias("place"))
+    e = rows.where("n % 2 = 0").select("n").join(rows.where("n % 3 = 0").select("n", "priority"), "n", "left")
+    item = F.expr("n div 9")
+    return e.select("n", item.alias("item"), F.row_number().over(Window.partitionBy(item).orderBy(F.coalesce("priority", F.lit(99)), "n")).alias("place"))
 
 
 _HARVEST = f"(select page_id // 9 as item, page_id as n, canonical from {_TABLE} where page_id % 2 = 0)"

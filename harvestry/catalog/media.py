@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alike
 from ..functions import media as me
+from ..functions import nested
 from ..functions import urls as ur
 from ..operators import frames as fr
 from ..operators import fuzzy
@@ -109,13 +110,14 @@ def _(t):
     return t("events").select("event_id", me.caption_track(manual, automatic, language).alias("r")).select("event_id", "r.key", "r.source")
 
 
-@query("page_titles", r"""with h as (select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) as host, case page_id % 4 when 0 then '<meta property="og:title" content="Shared ' || page_id || '">' when 1 then '<meta property="og:title" content="Not Found">' else '' end || html as html from pages),
- x as (select page_id, regexp_replace(host, '^www\.', '') as host, regexp_extract(html, '(?is)<meta\s+property="og:title"\s+content="([^"]*)"', 1) as og, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g') as title, regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g') as h1 from h),
- n as (select page_id, host, list_transform([og, title, h1], lambda v: trim(regexp_replace(replace(replace(replace(v, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) as all_ from x)
+@query("page_titles", r"""with h as (select page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) as host, case page_id % 4 when 0 then '<meta property="og:title" content="Shared ' || page_id || '">' when 1 then '<meta property="og:title" content="Not Found">' when 2 then '<script type="application/ld+json">{"@graph": [{"@type": ["WebPage", 1], "name": " Linked ' || page_id || '"}, {"@type": "Person", "name": "x"}]}</script>' else '' end || html as html from pages),
+ x as (select page_id, regexp_replace(host, '^www\.', '') as host, regexp_extract(html, '(?is)<meta\s+property="og:title"\s+content="([^"]*)"', 1) as og, regexp_extract(html, '"name": " ([^"]*)"', 1) as ld, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g') as title, regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g') as h1 from h),
+ n as (select page_id, host, list_transform([og, ld, title, h1], lambda v: trim(regexp_replace(replace(replace(replace(v, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) as all_ from x)
  select page_id, list_filter(all_, lambda v: v <> '' and length(v) <= 500 and lower(v) <> 'not found' and not starts_with(lower(v), '404 ') and rtrim(regexp_replace(lower(v), '^www\.', ''), './ ') <> host)[1] as title from n""")
 def _(t):
-    head = F.expr("""case page_id % 4 when 0 then '<meta property="og:title" content="Shared ' || page_id || '">' when 1 then '<meta property="og:title" content="Not Found">' else '' end""")
-    return t("pages").select("page_id", me.html_title(F.concat(head, c("html")), ur.bare_host(c("url"))).alias("title"))
+    head = F.expr("""case page_id % 4 when 0 then '<meta property="og:title" content="Shared ' || page_id || '">' when 1 then '<meta property="og:title" content="Not Found">' when 2 then '<script type="application/ld+json">{"@graph": [{"@type": ["WebPage", 1], "name": " Linked ' || page_id || '"}, {"@type": "Person", "name": "x"}]}</script>' else '' end""")
+    html = F.concat(head, c("html"))
+    return t("pages").select("page_id", me.html_title(html, ur.bare_host(c("url")), nested.json_ld_title(html)).alias("title"))
 
 
 @query("refresh_targets", """select page_id, case page_id % 3 when 0 then 'https://a.example/' || page_id when 1 then 'https://b.example/' || page_id end as target from pages""")
@@ -182,3 +184,12 @@ def _(t):
     words = t("documents").where("lang is not null").select(c("lang").alias("media"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\pL+"), F.lit(0)))).alias("text")).distinct()
     kept = fr.worth_reading(words.withColumn("n", F.xxhash64("text")), F.length(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss"))) <= 12)
     return kept.select(c("media").alias("lang"), alike.text_key(c("text")).alias("key"))
+
+
+@query("redacted_records", """select event_id, '{"kind":"' || event_type || '","Cookies":"[redacted]","formats":[{"url":"[redacted]","props":' || replace(props, ' ', '') || '},[[{"http_headers":"[redacted]","n":' || event_id || '}]]]}' as record,
+ case when event_id % 2 = 0 then event_type else event_type || ', x' end as kind from events where props is not null""")
+def _(t):
+    rows = t("events").where("props is not null").withColumn("raw", F.expr("""'])}while(1);</x>{"kind": "' || event_type || '", "Cookies": {"a": 1}, "formats": [{"url": "https://x", "props": ' || props || '}, [[{"http_headers": null, "n": ' || event_id || '}]]], "wrapped": {"value": ' || case when event_id % 2 = 0 then '"' || event_type || '"' else '["' || event_type || '", "x"]' end || '}}'"""))
+    whole = F.regexp_replace("raw", r"^[^{]*", "")
+    shown = F.regexp_replace(nested.redacted(whole), r',"wrapped":.*', "}")
+    return rows.select("event_id", shown.alias("record"), nested.unwrapped(nested.parsed(c("raw")), "wrapped").alias("kind"))

@@ -11,8 +11,8 @@ from ..registry import query
 
 c = F.col
 
-#: The start of each document as one line, and with the marks that the rules look for, in both dialects.
-_START = "substr(replace(text, chr(10), ' '), 1, 90)"
+#: Each document as one line, and with the marks that the rules look for, in both dialects.
+_START = "replace(text, chr(10), ' ')"
 _LINE = f"""case doc_id % 16 when 0 then '#AI #llm_2 ' when 1 then '- hashtag#GenAI is  here !' when 2 then '  🔹 ' || {_START} when 3 then '○ First  item ,' when 4 then '=====' when 5 then '— —' when 6 then '#+TITLE: a  b' when 7 then '* Head  line'
  when 8 then '1️⃣ and 🔟' when 9 then 'so → “this” – that’s ▪' when 10 then '[a](https://a.example/x) ' when 11 then '@user #tag www.a.example' when 12 then '— … !' when 13 then '-.-' when 14 then '' else {_START} end"""
 _ROWS = f"(select doc_id, {_LINE} as line from documents)"
@@ -81,20 +81,20 @@ def _(t):
     return t("documents").select("doc_id", tx.short_query(c("text")).alias("short"))
 
 
-@query("yaml_scalars", r"""select doc_id, '"' || replace(replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '\', '\\'), '"', '\"') || '"' as scalar, '["' || replace(replace(coalesce(source, '-'), '\', '\\'), '"', '\"') || '", "' || coalesce(lang, '-') || '"]' as list from (select *, substr(text, 1, 120) || ' "q" \ ' as x from documents)""")
+@query("yaml_scalars", r"""select doc_id, '"' || replace(replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '\', '\\'), '"', '\"') || '"' as scalar, '["' || replace(replace(coalesce(source, '-'), '\', '\\'), '"', '\"') || '", "' || coalesce(lang, '-') || '"]' as list from (select *, text || ' "q" \ ' as x from documents)""")
 def _(t):
     both = F.array(F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
-    return t("documents").select("doc_id", tx.yaml_scalar(F.concat(F.substring("text", 1, 120), F.lit(' "q" \\ '))).alias("scalar"), tx.yaml_list(both).alias("list"))
+    return t("documents").select("doc_id", tx.yaml_scalar(F.concat("text", F.lit(' "q" \\ '))).alias("scalar"), tx.yaml_list(both).alias("list"))
 
 
 _HEADING = "case doc_id % 5 when 0 then '## ' when 1 then '##### ' when 2 then '# ' when 3 then '#' else '' end || 'T' || doc_id"
 
 
 @query("demoted_headings", rf"""select doc_id, case when regexp_matches(h, '^#{{1,6}}\s') then repeat('#', least(length(regexp_extract(h, '^(#+)', 1)) + 2, 6)) || substr(h, length(regexp_extract(h, '^(#+)', 1)) + 1) else h end as heading,
- array_to_string(list_transform(string_split(text, chr(10))[1:5], lambda l: case when l = '' then '>' else '> ' || l end), chr(10)) as quote, regexp_replace(h || '[x]_`*\', '([\\\[\]*_`])', '\\\1', 'g') as label from (select *, {_HEADING} as h from documents)""")
+ array_to_string(list_transform(string_split(text, chr(10)), lambda l: case when l = '' then '>' else '> ' || l end), chr(10)) as quote, regexp_replace(h || '[x]_`*\', '([\\\[\]*_`])', '\\\1', 'g') as label from (select *, {_HEADING} as h from documents)""")
 def _(t):
     h = F.expr(_HEADING)
-    quote = tx.blockquote(F.array_join(F.slice(F.split("text", "\n", -1), 1, 5), "\n"))
+    quote = tx.blockquote(c("text"))
     return t("documents").select("doc_id", tx.demote_heading(h).alias("heading"), quote.alias("quote"), tx.escape_label(F.concat(h, F.lit("[x]_`*\\"))).alias("label"))
 
 

@@ -104,13 +104,16 @@ def title_or_null(raw: Column, host: Column) -> Column:
     return F.when(~bad, x)
 
 
-def html_title(html: Column, host: Column) -> Column:
-    """The page's own title: what it declares for sharing, then `<title>`, then its first heading."""
+def html_title(html: Column, host: Column, linked: Column | None = None) -> Column:
+    """The page's own title: what it declares for sharing, then its linked data's, then `<title>`, then its first heading."""
     meta = lambda key, name: F.regexp_extract(html, rf'(?is)<meta\s+{key}="{name}"\s+content="([^"]*)"', 1)
     tag = lambda n: F.regexp_replace(F.regexp_extract(html, rf"(?is)<{n}[^>]*>(.*?)</{n}>", 1), "<[^>]*>", " ")
     found = [meta("property", "og:title"), meta("name", "twitter:title"), meta("property", "twitter:title"), tag("title"), tag("h1")]
     plain = [F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")) for x in found]
-    return F.coalesce(*(title_or_null(x, host) for x in plain))
+    titles = [title_or_null(x, host) for x in plain]
+    if linked is not None:
+        titles.insert(3, title_or_null(linked, host))
+    return F.coalesce(*titles)
 
 
 def refresh_target(html: Column) -> Column:
