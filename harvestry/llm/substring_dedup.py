@@ -1,14 +1,13 @@
-"""Exact substring deduplication with prefix-partitioned, depth-limited suffix trees.
+"""Substring deduplication: windows of `depth` words that start earlier elsewhere.
 
-Every word position starts a suffix. Suffixes are split by a variable-length word prefix (one word, four words where
-one is too common, the whole depth where even that is) into groups of bounded size. A group's subtree is held as its
-sorted leaves: leaves that agree on `depth` words hang under one internal node at that depth, so such a node with two
-leaves or more is a repeat, and consecutive repeats join to maximal ones. Of each node the earliest leaf stays; the words
-of all other leaves' first `depth` words go.
+Every word position starts a window. Windows are routed by a variable-length word prefix (one word, four words where one
+is too common, the whole depth where even that is) into groups of bounded size. In a group they are sorted by their
+digests: equal ones are what a suffix tree would hold under one node at that depth, and no tree is built, as that depth
+alone decides. Of each such set the earliest window stays; the words of all others go, and consecutive ones join.
 
-Only the leaf's 64-bit path digest travels, never its text; equal leaves within a chunk of text are merged first, so a
-passage that a third of all rows hold arrives once per chunk. Positions stay where the text is: a group returns one bit
-per leaf, and the text meets these bits by chunk.
+Only a window's 64-bit digest travels, never its text, so that windows count as equal by 64 bits; equal ones within a
+chunk of text are merged first, so a passage that a third of all rows hold arrives once per chunk. Positions stay where
+the text is: a group returns one bit per window, and the text meets these bits by chunk.
 """
 
 from __future__ import annotations
