@@ -235,6 +235,7 @@ def feed_url(u: Column) -> Column:
 
 def paper_id(u: Column) -> Column:
     """`provider:id` of a research paper's page or file, else null."""
+    # The forms of the providers' urls.
     p, h = path(u), bare_host(u)
     part = lambda pattern, i=1: F.regexp_extract(p, pattern, i)
     named = lambda provider, x, ok: F.when(ok, F.concat(F.lit(f"{provider}:"), x))

@@ -37,12 +37,15 @@ REASONS = [
     ("https://t.me/s/chan", "https://t.me/s/chan", "telegram-channel"), ("https://t.me/s/chan/4", "https://t.me/s/chan/4", None), ("reddit.com", "https://reddit.com", "bare-hostname"), ("reddit.com/r/a", "https://reddit.com/r/a", None),
 ]
 CLEANED = {
-    "𝗣𝗼𝘁𝗲𝗻𝘁𝗶𝗮𝗹 𝗽𝗮𝗿𝗮𝗱𝗶𝗴𝗺": "Potential paradigm", "It’s 𝗖𝗦𝟯𝟯𝟲: x": "It's CS336: x", "5️⃣ Chain": "5 Chain", "🔟 Tenth": "10 Tenth",
-    "Free textbook! 📖✨": "Free textbook!", "3 ⭐ stars": "3 ⭐ stars", "Warning ⚠️ alert": "Warning ⚠️ alert", "Jailbreak 💪 ref": "Jailbreak ref",
-    "#ArtificialIntelligence #DeepLearning": "", "This is #FeaturedFriday post": "This is FeaturedFriday post", "It is not hashtag#GenAI!": "It is not GenAI!", "Ranked #1 in class": "Ranked #1 in class",
-    "Go to https://github.com/org/repo#bonus": "Go to https://github.com/org/repo#bonus", "○ First bullet": "- First bullet", "  🔹 Subpoint": "  * Subpoint", "Let’s go — yes": "Let's go - yes",
-    "#+TITLE: My  Inbox": "#+TITLE: My  Inbox", "Hello  world ! ": "Hello world!", "════": "════", "=====": "---", "— —": "- -", "See (https://a.example/x?utm_source=y&b=1).": "See (https://a.example/x?b=1).",
-    "Сomputer": "Computer", "Привет": "Привет", "a\n\n\n\nb\n\n": "a\n\nb\n", "a​b": "ab", "": "",
+    "𝐁𝐨𝐥𝐝 𝘴𝘭𝘢𝘯𝘵 𝚖𝚘𝚗𝚘": "Bold slant mono", "She’s at 𝟭𝟮𝟯": "She's at 123", "7️⃣ steps, 🔟 goals": "7 steps, 10 goals", "Lunch 🍜🥢 soon": "Lunch soon", "A ⭐ for you ✅": "A ⭐ for you ✅", "Mind ⚠️ the gap ⚠": "Mind ⚠️ the gap ⚠",
+    "#Monday #Coffee": "", "Our #Monday list": "Our Monday list", "hashtag#Coffee time": "Coffee time", "Item #4 of 9": "Item #4 of 9", "At https://a.example/b#part": "At https://a.example/b#part",
+    "○ Round": "- Round", "    ▪ Square": "    * Square", "so — “fine” – it’s…": 'so - "fine" - it\'s...', "#+AUTHOR: Me  Too": "#+AUTHOR: Me  Too", "two  spaces , here ?": "two spaces, here?", "════": "════", "-----": "---", "— —": "- -",
+    "See (https://a.example/x?utm_source=y&b=1).": "See (https://a.example/x?b=1).", "Мoney": "Money", "Привет": "Привет", "a\n\n\n\nb\n\n": "a\n\nb\n", "a\u200bb\u00ad": "ab", "": "",
+    # by Unicode's emoji property: check marks and stars of text stay, signs with an emoji form go
+    "✓ done ★": "✓ done ★", "© 2024 ®": "2024", "👩\u200d💻 🇩🇪 👍🏽 ok": "ok", "5 * 3 # 2": "5 * 3 # 2",
+    # urls in code, in tags and in links
+    "`https://a.example/?ref=1`": "`https://a.example/?ref=1`", '<a href="https://a.example/?ref=1">': '<a href="https://a.example/?ref=1">', "[https://a.example/?ref=1&c=2](https://a.example/?ref=1&c=2)": "[https://a.example/?c=2](https://a.example/?c=2)",
+    "https://a.example/\u200bx?gclid=3 y": "https://a.example/x y",
 }
 
 
@@ -95,3 +98,13 @@ def test_text_functions(spark):
     assert each(spark, tx.names_nothing, ["#a @b", "— !", "[x](https://a.example) ", "word #a"]) == [True, True, True, False]
     assert each(spark, tx.demote_heading, ["## a", "##### b", "c #"]) == ["#### a", "###### b", "c #"]
     assert each(spark, tx.kebab, ["ValueError", "HTTPError"]) == ["exception-value-error", "exception-httperror"]
+
+
+def test_moments(spark):
+    from harvestry.functions import media as me
+
+    cases = {
+        "2026-03-01T10:00:00Z": "2026-03-01T10:00:00Z", "2026-03-01 10:00:00+0230": "2026-03-01T07:30:00Z", "20260301T100000-05": "2026-03-01T15:00:00Z", "2026-03-01T10:00+01:00": "2026-03-01T09:00:00Z",
+        "2026-03-01T00:30:15.25+01:00:15": "2026-02-28T23:30:00Z", "2026-03-01T10:00:00": None, "2026-03-01": None, "2026-13-01T10:00:00Z": None, "2026-03-01T10:00:00+25:00": None, "soon": None,
+    }
+    assert dict(zip(cases, each(spark, me.utc_moment, cases))) == cases
