@@ -123,3 +123,32 @@ def _(t):
     pair = lambda l: F.struct(F.trim(F.split_part(l, F.lit(":"), F.lit(1))), F.trim(F.trim(F.regexp_replace(l, "^[^:]*:", "")), F.lit('"')))  # noqa: E731, E741
     fields = F.map_from_entries(F.transform(F.filter(F.split(text, "\n", -1), lambda l: F.contains(l, F.lit(":"))), pair))  # noqa: E741
     return t("pages").select("page_id", F.element_at(fields, "canonical_url").alias("canonical_url"), F.element_at(fields, "title").alias("title"))
+
+
+_NAMELESS = r"(not regexp_matches(x, '[\pL\pN]') or regexp_matches(x, '^(?:\[(?:[^\]\\]|\\.)*\]\((?:[^()\\]|\\.)*\)\s*)+$') or len(list_filter(string_split(x, ' '), lambda w: not regexp_matches(w, '^(?:#|@|http://|https://|www\.)'))) = 0)"
+_SENTENCES = rf"flatten(list_transform(list_filter(list_transform(string_split({{t}}, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda x: x <> '' and not {_NAMELESS}), lambda l: string_split(regexp_replace(l, '([.?!…]) ', '\1' || chr(10), 'g'), chr(10))))"
+_OPENING = rf"""list_reduce({_SENTENCES}, lambda a, s: case when a['d'] then a else {{{{'j': ltrim(a['j'] || ' ' || s), 'd': (len(list_filter(string_split(ltrim(a['j'] || ' ' || s), ' '), lambda w: regexp_matches(w, '[\pL\pN]'))) >= 4 and not ends_with(ltrim(a['j'] || ' ' || s), ':')) or length(ltrim(a['j'] || ' ' || s)) > 100}}}} end, {{{{'j': '', 'd': false}}}})['j']"""
+_CUT = r"""case when length(o) <= 100 then o else rtrim(case when contains(substr(o, 1, 99), ' ') then regexp_replace(substr(o, 1, 99), ' [^ ]*$', '') else substr(o, 1, 99) end, ' ,;:—-') || '…' end"""
+#: Openings that name nothing, stop at a colon or are too short, before each document's text, in both dialects.
+_LED = "case doc_id % 6 when 0 then '#tag @who' || chr(10) when 1 then 'In short:' || chr(10) when 2 then '… !' || chr(10) || 'Well. Yes. ' when 3 then '[a](https://a.example) ' || chr(10) when 4 then 'https://a.example/x' || chr(10) || chr(10) else '' end || coalesce(text, '')"
+
+
+@query("first_sentences", f"select doc_id, {_CUT} as opening from (select doc_id, {_OPENING.format(t='t')} as o from (select doc_id, {_LED} as t from documents))")
+def _(t):
+    return t("documents").select("doc_id", tx.first_sentence(F.expr(_LED)).alias("opening"))
+
+
+_PAGE_TITLE = r"trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+
+
+@query("headlines", f"""with p as (select page_id, url, {_PAGE_TITLE} as title, case page_id % 4 when 0 then '[x](https://a.example)' || chr(10) || 'and why' when 1 then 'Only note' || page_id || '!' when 2 then {_PAGE_TITLE} else '' end as t from pages),
+ c as (select page_id, url, case page_id % 4 when 0 then title || chr(10) || t when 2 then t when 1 then case when title <> '' then title else t end else '' end as t, title, page_id % 4 as k from p),
+ o as (select page_id, url, title, k, {_OPENING.format(t='t')} as o from c), h as (select page_id, k, title, url, {_CUT} as h from o)
+ select page_id, case when k < 3 and h <> '' then h else regexp_replace(rtrim(regexp_replace(url, '^.*?://', ''), '/'), '^www\\.', '') end as headline from h""")
+def _(t):
+    """Pages by a link with a remark, a note, a captured title, or their address alone."""
+    k, none = c("page_id") % 4, F.lit(None).cast("string")
+    title = F.trim(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1))
+    body = F.when(k == 0, F.lit("[x](https://a.example)\nand why")).when(k == 2, title).otherwise("")
+    note = F.when(k == 1, F.concat(F.lit("Only note"), c("page_id").cast("string"), F.lit("!")))
+    return t("pages").select("page_id", tx.headline([], none, none, F.when(k < 2, title), note, body, none, c("url")).alias("headline"))

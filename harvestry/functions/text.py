@@ -191,3 +191,47 @@ def author_names(json: Column) -> Column:
     several = F.when(json.startswith("["), json).otherwise(F.concat(F.lit("["), json, F.lit("]")))
     one = lambda x: F.trim(F.coalesce(F.get_json_object(x, "$.name"), F.when(~x.startswith("{"), x)))
     return F.filter(F.transform(F.from_json(several, "array<string>"), one), lambda x: x.isNotNull() & (x != ""))
+
+
+def first_sentence(x: Column, limit: int = 100, least: int = 4) -> Column:
+    """The opening of a text that says something: whole sentences of lines that name anything, until they have `least` words and no colon at their end.
+
+    On one line, cut at a word after `limit` characters; empty where nothing is named.
+    """
+    lines = F.filter(F.transform(F.split(x, r"\R", -1), lambda s: F.array_join(words(s), " ")), lambda s: (s != "") & ~names_nothing(s))
+    parts = F.flatten(F.transform(lines, lambda s: F.split(s, "(?<=[.?!…]) ", -1)))
+
+    def add(a, s):
+        joined = F.when(a["text"] == "", s).otherwise(F.concat(a["text"], F.lit(" "), s))
+        enough = (word_count(joined) >= least) & ~joined.endswith(":")
+        return F.when(a["done"], a).otherwise(F.struct(joined.alias("text"), (enough | (F.length(joined) > limit)).alias("done")))
+
+    opening = F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(False).alias("done")), add)
+    return F.when(x.isNull(), "").otherwise(cut_at_word(opening["text"], limit))
+
+
+# Fixed value: counters that a video page's title opens with.
+_COUNTERS = "^[0-9.,]+[KMB]? views · [0-9.,]+[KMB]? reactions \\| "
+
+
+def page_headline(title: Column) -> Column:
+    return F.regexp_replace(title, _COUNTERS, "")
+
+
+def leads_with_link(x: Column) -> Column:
+    """Whether the first line that isn't blank is nothing but links."""
+    first = F.get(F.filter(F.split(x, r"\R", -1), lambda s: F.trim(s) != ""), F.lit(0))
+    return F.coalesce(F.array_join(words(first), " ").rlike(r"^(?:\[(?:[^\]\\]|\\.)*\]\((?:[^()\\]|\\.)*\)\s*)+$"), F.lit(False))
+
+
+def headline(streams: list[Column], abstract: Column, excerpt: Column, title: Column, note: Column, body: Column, label: Column, url: Column) -> Column:
+    """A line that names an item: the first of eight candidates that says something, else `(untitled)`.
+
+    streams: what was read of the item, best first; then abstract and excerpt, the page's title if a note says what to do
+    with it, the note, the captured text (after the page's title where it opens with the link), title or label, address.
+    """
+    named = page_headline(F.coalesce(title, F.lit("")))
+    captured = F.when(leads_with_link(body), F.concat(named, F.lit("\n"), body)).otherwise(body)
+    address = F.regexp_replace(F.rtrim(F.regexp_replace(url, "^.*?://", ""), F.lit("/")), r"^www\.", "")
+    candidates = [*streams, abstract, excerpt, F.when(note.isNotNull(), named), note, captured, F.when(named != "", named).otherwise(label), address]
+    return F.coalesce(*(F.nullif(first_sentence(x), F.lit("")) for x in candidates), F.lit("(untitled)"))
