@@ -6,28 +6,32 @@ candidate pairs; the segments of candidates are dealt to (fragment, block of pai
 the fragment is counted by itself, and the sum of a pair's partial overlaps decides. A segment whose difference alone
 rules its pair out adds nothing.
 
-Equal sets are one node. The first round meets each node with the hubs of its prefix n-grams only (for each n-gram one
-of its nodes), the second with all nodes that these links left in other components, one side being those outside the
+Equal sets are one node. In the first round each node meets the hubs of its prefix n-grams only (for each n-gram a few
+of its nodes), in the last all nodes that these links left in other components, one side being those outside the
 n-gram's largest component; so a large group of near copies makes rows in proportion to its size. Blocks hold a bounded
 number of n-grams, a node with many partners is dealt to many blocks, and nothing is joined by documents of equal text.
-N-grams are told apart by 64 bits, which matters within a pair of documents alone; sets by 128 bits.
+N-grams are told apart by 56 bits, which matters within a pair of documents alone, and sets by 128 bits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, mix64
-from .near_copies import COUNT_BITS, _flat, _ranges, _rarities, _sets
+from .common import drop_table, materialise, mix64, text_chunks, word_bounds, word_digests
+from .near_copies import CHUNK, COUNT_BITS, _flat, _ranges, _sets, _slices, _total
 from .simhash import components
 
 WIDTH = 4
 PERCENT = 85
 FRAGMENTS = 8
-HUBS = 3  # partners of a node in the first round
+TURNS = 1  # rounds in which nodes meet hubs alone
+SEEDS = 4  # hubs of an n-gram
+HUBS = 8  # partners of a node in such a round
 BLOCK = 2_000_000  # n-grams of pairs that a block aims at
 WANTED_BITS = 24  # places of the bitmap that leaves out sets of no pair: at most 2 ** (WANTED_BITS - 6) rows of 16 bytes are broadcast
 _HASH = 56  # bits of a key below its rarity
@@ -38,10 +42,42 @@ def _packed(keys: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, off.buffers()[1], pa.py_buffer(keys.tobytes())])
 
 
-def _ordered(key: np.ndarray, row: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Keys that sort in the global order, ascending within each row."""
-    key = rarity[(key >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(_HASH) | key & np.uint64((1 << _HASH) - 1)
-    return key[np.lexsort((key, row))]
+def _ordered(key: np.ndarray, size: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Keys that sort in the global order, ascending within each row; the digests ascend in each row already."""
+    rare = rarity[(key >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    out = rare.astype(np.uint64) << np.uint64(_HASH) | key >> np.uint64(64 - _HASH)
+    done = np.concatenate([[0], np.cumsum(size)])
+    for lo in range(0, len(size), 256):  # so that row and rarity are 16 bits, which sort in linear time
+        hi = min(lo + 256, len(size))
+        a, b = done[lo], done[hi]
+        place = np.repeat(np.arange(hi - lo, dtype=np.uint16), size[lo:hi]) << np.uint16(8) | rare[a:b]
+        out[a:b] = out[a:b][np.argsort(place, kind="stable")]
+    return out
+
+
+def _counts(docs: DataFrame, width: int) -> np.ndarray:
+    """Per bucket of shingles, the rarity of its occurrences in steps of a quarter of an octave; as digests of _sets."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+
+    def count(batches):
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for _, rows, raw, off in text_chunks(batch, limit=CHUNK):
+                raw = lower[raw]
+                starts, ends, at = word_bounds(raw, off)
+                digest = word_digests(raw, starts, ends)
+                key = np.full(max(0, len(digest) - width + 1), width, np.uint64)
+                for k in range(width):
+                    key = mix64(key * np.uint64(0xD1342543DE82EF95) + digest[k : k + len(key)])
+                inside = np.ones(len(key) + 1, bool)
+                for k in range(1, width):  # not across two texts
+                    inside[np.clip(at[1:-1] - k, 0, len(key))] = False
+                total += np.bincount((key[inside[:-1]] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
+        yield _slices(total)
+
+    slices = docs.select("text").mapInArrow(count, "slice int, counts binary").withColumn("salt", (F.spark_partition_id() / 256).cast("int"))
+    return np.minimum(255, 4 * np.log2(1 + _total(slices, COUNT_BITS))).astype(np.uint8)
 
 
 def _second(key: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -71,7 +107,7 @@ def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
         for batch in batches:
             key, size = _flat(batch.column(3))
             second = _second(key, size)
-            key = _ordered(key, np.repeat(np.arange(len(size)), size), rarity)
+            key = _ordered(key, size, rarity)
             # a set so small that one more or fewer is too many has no partner but its equal
             kept = np.where(100 * size >= percent * (size + 1), size + (-percent * size // 100) + 1, 0)
             key = key[np.repeat(np.cumsum(size) - size, kept) + _ranges(np.zeros(len(size), np.int64), kept)]
@@ -99,19 +135,41 @@ def _may(percent: int, x: tuple[str, str] = ("n", "at"), y: tuple[str, str] = ("
     return (F.least(at, to) + F.least(n - at, m - to)).cast("long") * (100 + percent) >= (n + m).cast("long") * percent
 
 
-def _shared(nodes: DataFrame) -> DataFrame:
-    """The entries of n-grams that several nodes have in their prefixes, each with the n-gram's hub: (key, node, n, at, hub, n2, at2)."""
+def _shared(nodes: DataFrame, percent: int) -> DataFrame:
+    """The entries of n-grams that several nodes have in their prefixes: (key, node, n, at, private), private: entries of the node that no other has."""
     entries = _entries(nodes)
-    hub = F.min_by(F.struct("node", "n", "at"), F.xxhash64("node")).alias("hub")
-    hubs = entries.groupBy("key").agg(F.count("*").alias("nodes"), hub).where("nodes > 1").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n2"), F.col("hub.at").alias("at2"))
-    return materialise(entries.join(hubs, "key"), "shared", **{"parquet.enable.dictionary": "false"})
+    several = entries.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").drop("nodes")
+    met = materialise(entries.join(several, "key").select("key", "node", "n", "at"), "met", **{"parquet.enable.dictionary": "false"})
+    prefix = F.col("n") - F.ceil(F.col("n").cast("long") * percent / 100) + 1
+    counts = met.groupBy("node", "n").agg(F.count("*").alias("shared")).select("node", (prefix - F.col("shared")).alias("private"))
+    out = materialise(met.join(counts, "node"), "shared", **{"parquet.enable.dictionary": "false"})
+    drop_table(met)
+    return out
+
+
+def _could(percent: int, times: str = "times"):
+    """Whether two sets that share so many prefix n-grams can reach the threshold: of one set, all that the other has are in both prefixes or behind its own."""
+    behind = lambda n: F.ceil(F.col(n).cast("long") * percent / 100) - 1
+    return (F.col(times) + F.greatest(behind("na"), behind("nb"))) * (100 + percent) >= (F.col("na").cast("long") + F.col("nb")) * percent
+
 
+def _hub_pairs(shared: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(a, na, b, nb), a < b: each node and those hubs with another label that it meets most often.
 
-def _hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, na, b, nb), a < b: each node and the hubs that it meets most often."""
-    met = shared.where((F.col("node") != F.col("hub")) & _may(percent)).groupBy("node", "n", "hub", "n2").agg(F.count("*").alias("times"))
-    best = met.groupBy("node", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "hub", "n2")), asc=False), 1, HUBS).alias("hubs"))
-    return _in_order(best.select("node", "n", F.explode("hubs").alias("h")).select("node", "n", F.col("h.hub").alias("node2"), F.col("h.n2").alias("n2"))).distinct()
+    shared(key, node, n, at, private, label). An n-gram has SEEDS hubs, of as many classes of nodes, which are dealt anew
+    by seed: each the node with the fewest n-grams of its own, as an edit makes those, so that the text that copies come
+    from is among them.
+    """
+    part = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(SEEDS))
+    order = F.shiftleft(F.greatest("private", F.lit(0).cast("long")), 32) + F.pmod(F.xxhash64("node", F.lit(-1 - seed)), F.lit(1 << 32))
+    firsts = shared.groupBy("key").agg(*(F.min(F.when(part == i, order)).alias(f"first{i}") for i in range(SEEDS)))
+    is_hub = F.lit(False)
+    for i in range(SEEDS):
+        is_hub = is_hub | ((part == i) & (order == F.col(f"first{i}")))
+    hubs = shared.join(firsts, "key").where(is_hub).select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"))
+    met = shared.join(hubs, "key").where((F.col("label") != F.col("label2")) & _may(percent)).groupBy("node", F.col("n").alias("na"), "node2", F.col("n2").alias("nb")).agg(F.count("*").alias("times"))
+    best = met.where(_could(percent)).groupBy("node", "na").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "node2", "nb")), asc=False), 1, HUBS).alias("hubs"))
+    return _in_order(best.select("node", F.col("na").alias("n"), F.explode("hubs").alias("h")).select("node", "n", F.col("h.node2").alias("node2"), F.col("h.nb").alias("n2"))).distinct()
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
@@ -120,25 +178,47 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(pick("node", "node2", "a"), pick("n", "n2", "na"), pick("node2", "node", "b"), pick("n2", "n", "nb"))
 
 
-def _other_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, na, b, nb), a < b: all pairs with different labels that share a prefix n-gram and may reach the threshold."""
-    labelled = shared.select("key", "node", "n", "at").join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of shared whose n-gram is in several components, with labels and the n-gram's largest component: (key, node, n, at, private, label, largest)."""
+    known = labels.select(F.col("node").alias("labelled"), F.col("label").alias("known"))
+    labelled = shared.join(known, F.col("node") == F.col("labelled"), "left").select("key", "node", "n", "at", "private", F.coalesce("known", "node").alias("label"))
     labelled = materialise(labelled, "labelled", **{"parquet.enable.dictionary": "false"})
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("nodes"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("nodes", "label")).getField("label").alias("largest")).where("labels > 1").drop("labels")
-    open_ = materialise(labelled.join(mixed, "key"), "open", **{"parquet.enable.dictionary": "false"})
-    mine = open_.where("label <> largest").drop("largest")
-    theirs = open_.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("large"))
-    met = mine.join(theirs, "key").where((F.col("label") != F.col("label2")) & (F.col("large") | (F.col("node") < F.col("node2"))) & _may(percent))
-    pairs = materialise(_in_order(met).distinct(), "others")
-    for table in (labelled, open_):
-        drop_table(table)
-    return pairs
+    out = materialise(labelled.join(mixed, "key"), "open", **{"parquet.enable.dictionary": "false"})
+    drop_table(labelled)
+    return out
+
+
+def _other_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, na, b, nb), a < b: all pairs with different labels that may reach the threshold by the first n-gram they share; entries of _open.
+
+    What both have stands behind that first one, so that it lies in a prefix which is as short as the two sizes allow.
+    The smaller set's is about half of the whole prefix: only such entries are looked up. Of the pairs so found, all that
+    both prefixes share is then counted, which rules most of them out.
+    """
+    small = entries.where((F.col("n") - F.col("at")).cast("long") * (100 + percent) >= F.col("n").cast("long") * 2 * percent).select("key", "node", "n", "at", "label", "largest")
+    other = entries.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("label").alias("label2"), (F.col("label") == F.col("largest")).alias("large"))
+    left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")).cast("long")
+    reaches = (F.col("n") <= F.col("n2")) & (left * (100 + percent) >= (F.col("n") + F.col("n2")).cast("long") * percent)
+    fit = (F.col("label") != F.col("label2")) & reaches
+    # one of the two is outside the n-gram's largest component
+    met = small.where("label <> largest").join(other, "key").where(fit).unionByName(small.where("label = largest").join(other.where("not large"), "key").where(fit))
+    pairs = materialise(_in_order(met).distinct(), "met")
+    side = lambda x: entries.select(F.col("node").alias(x), "key", F.col("at").alias(f"at_{x}"))
+    counted = pairs.join(side("a"), "a").join(side("b"), ["b", "key"]).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    # what both have is counted up to the last that they share, and no more than either has left stands behind it
+    behind = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b")) - 1
+    kept = _could(percent) & ((F.col("times") + behind) * (100 + percent) >= (F.col("na").cast("long") + F.col("nb")) * percent)
+    out = materialise(counted.where(kept).select("a", "na", "b", "nb"), "others")
+    drop_table(pairs)
+    return out
 
 
-def _segments(sets: DataFrame, nodes: DataFrame, shared: DataFrame, rarity: np.ndarray, pivots: np.ndarray) -> DataFrame:
-    """(node, fragment, keys): the segments of all nodes that share a prefix n-gram."""
-    wanted = materialise(shared.select("node").distinct().join(nodes.select("node", "h1", "h2"), "node"), "wanted")
+def _segments(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, rarity: np.ndarray, pivots: np.ndarray) -> DataFrame:
+    """(node, fragment, keys): the segments of all nodes of pairs(a, b)."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(asked.join(nodes.select("node", "h1", "h2"), "node"), "wanted")
     # before sets are shuffled, a bitmap of fixed size leaves out most that no pair needs
     word = F.shiftrightunsigned("h1", 6).bitwiseAND(F.lit((1 << WANTED_BITS - 6) - 1)).alias("word")
     bits = wanted.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h1 & 63 as int))")).alias("bits"))
@@ -156,7 +236,7 @@ def _segments(sets: DataFrame, nodes: DataFrame, shared: DataFrame, rarity: np.n
         for batch in batches:
             key, size = _flat(batch.column(1))
             row = np.repeat(np.arange(len(size)), size)
-            key = _ordered(key, row, rarity)
+            key = _ordered(key, size, rarity)
             part = row * (len(pivots) + 1) + np.searchsorted(pivots, key, side="right")
             head = np.flatnonzero(np.diff(part, prepend=-1))
             count = np.diff(np.append(head, len(part)))
@@ -170,7 +250,6 @@ def _segments(sets: DataFrame, nodes: DataFrame, shared: DataFrame, rarity: np.n
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int, block: int) -> DataFrame:
     """The pairs(a, na, b, nb) whose sets reach the threshold, (a, b), written."""
-    pairs = materialise(pairs, "pairs")
     total = pairs.agg(F.sum((F.col("na") + F.col("nb")).cast("long"))).first()[0] or 0
     blocks = total // block + 1
     # a node's partners go to one block, those of a node with many to as many as their n-grams fill
@@ -208,8 +287,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int, block: int) -
     partial = each.groupBy("block", "fragment").cogroup(there.groupBy("block", "fragment")).applyInArrow(count, "a long, na int, b long, nb int, common long")
     summed = partial.groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
     real = materialise(summed.where(f"100 * common >= {percent} * (cast(na as long) + nb - common)").select("a", "b"), "links")
-    for table in (pairs, dealt):
-        drop_table(table)
+    drop_table(dealt)
     return real
 
 
@@ -228,25 +306,36 @@ def similar(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block:
     only if nothing else is reachable). Repeated rows are kept, other columns ignored; an empty table gives no rows.
     """
     sets = _sets(docs, width)
-    rarity = _rarities(sets)
+    rarity = _counts(docs, width)
     rows = materialise(_prefixes(sets, rarity, percent), "prefixes", **{"parquet.enable.dictionary": "false"})
     classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("first"))
     # written, as the numbers have to stay the same
     nodes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "nodes", **{"parquet.enable.dictionary": "false"})
-    shared = _shared(nodes)
-    segments = _segments(sets, nodes, shared, rarity, _pivots(rarity, FRAGMENTS))
-    near = _overlaps(_hub_pairs(shared, percent), segments, percent, block)
-    labels = components(near)
-    others = _other_pairs(shared, labels, percent)
-    rest = _overlaps(others, segments, percent, block)
-    for table in (labels, others, shared, segments):
-        drop_table(table)
-    labels = components(near.unionByName(rest))
+    shared = _shared(nodes, percent)
+    pivots = _pivots(rarity, FRAGMENTS)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        segments = _segments(sets, nodes, pairs, rarity, pivots)
+        real = _overlaps(pairs, segments, percent, block)
+        drop_table(pairs)
+        drop_table(segments)
+        return real
+
+    entries, links = shared.withColumn("label", F.col("node")), []
+    for turn in range(TURNS + 1):
+        links.append(linked(materialise(_hub_pairs(entries, percent, turn), "hubs") if turn < TURNS else _other_pairs(entries, percent)))
+        labels = components(reduce(DataFrame.unionByName, links))
+        if turn:
+            drop_table(entries)
+        if turn < TURNS:
+            entries = _open(shared, labels)
+            drop_table(labels)
+    drop_table(shared)
     joined = nodes.select("h1", "h2", "first", "node").join(labels.withColumnRenamed("node", "labelled"), F.col("node") == F.col("labelled"), "left").select("h1", "h2", "first", F.coalesce("label", "node").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     whole = joined.join(smallest, "label").select("h1", "h2", "component_id")
     found = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "h1", "h2").join(whole, ["h1", "h2"], "left")
     out = materialise(found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "components")
-    for table in (rows, nodes, near, rest, labels):
+    for table in (rows, nodes, *links, labels):
         drop_table(table)
     return out
