@@ -82,9 +82,11 @@ def resolve(links: DataFrame, pages: DataFrame, url: str = "url", rounds: int =
     A chain follows a destination inside the url, a Location header, then the page's own target; it ends at a page with
     a title or with a reason. A url that pages doesn't have is a request-error, one that comes round a third time a
     redirect-loop, one that is still on its way after the last round is at its redirect-limit. Of several rows of a url
-    the smallest counts; null urls take no part.
+    the smallest counts, a null being larger than any value; null urls take no part.
     """
-    once = pages.groupBy("url").agg(F.min(F.struct(*(c for c in pages.columns if c != "url"))).alias("p")).select("url", "p.*")
+    rest = [c for c in pages.columns if c != "url"]
+    order = F.struct(*(x for c in rest for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))))
+    once = pages.groupBy("url").agg(F.min(order).alias("p")).select("url", *(F.col(f"p.{c}").alias(c) for c in rest))
     starts = links.where(F.col(url).isNotNull()).select(F.col(url).alias("start")).distinct().withColumn("current", F.regexp_replace("start", "&amp;", "&"))
     at = F.coalesce("final_url", "url")
     stops = once.select(F.explode(F.array("url", ur.joined(at, F.col("location")), ur.joined(at, F.col("target")))).alias("u")).unionByName(starts.select(F.col("current").alias("u"))).where("u is not null").distinct()

@@ -76,3 +76,9 @@ def test_ipv6_hosts_stay_apart(spark):
     cases = {"https://[::1]:443/x?a=1": "https://[::1]/x?a=1", "http://[2001:DB8::2]:8080/": "http://[2001:db8::2]:8080/", "https://u:p@[::1]/": "https://u:p@[::1]/"}
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     assert {r["u"]: r["x"] for r in df.select("u", ur.canonical(F.col("u")).alias("x")).collect()} == cases
+
+
+def test_of_several_rows_the_smallest_counts_and_nulls_come_last(spark):
+    pages = spark.createDataFrame([("https://e.test/a", None, 200, None, None, H, 1, None), ("https://e.test/a", None, 200, None, None, H, 1, "A title"), ("https://e.test/b", None, 301, None, None, H, 1, None), ("https://e.test/b", None, 301, "/a", None, H, 1, None)], redirects.PAGES)
+    got = {r["url"]: (r["final_url"], r["title"], r["reason"], r["hops"]) for r in redirects.resolve(pages, pages).collect()}
+    assert got == {"https://e.test/a": ("https://e.test/a", "A title", None, 0), "https://e.test/b": ("https://e.test/a", "A title", None, 1)}
