@@ -59,7 +59,8 @@ def duration(seconds: Column) -> Column:
 
 def from_epoch(value: Column, limit: float = 1e11) -> Column:
     """A UTC date of epoch seconds, or of milliseconds beyond the limit."""
-    return F.when(value > 0, F.date_format(F.timestamp_seconds(F.when(value > limit, value / 1000).otherwise(value)), "yyyy-MM-dd"))
+    text = F.date_format(F.timestamp_seconds(F.when(value > limit, value / 1000).otherwise(value)), "yyyy-MM-dd")
+    return F.when(value > 0, F.ltrim(text, F.lit("+")))  # years from 10000 on come with a sign
 
 
 def published(numbers: list[Column], texts: list[Column]) -> Column:
