@@ -134,7 +134,7 @@ def _(t):
 @query("fair_share_budget", "with s as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::bigint as q, least(l_quantity::bigint, greatest(60 // count(*) over (partition by l_orderkey), 1)) as a from lineitem), p as (select *, 60 - sum(a) over (partition by l_orderkey) as spare, coalesce(sum(q - a) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and 1 preceding), 0) as before from s) select l_orderkey, l_linenumber, l_partkey, (a + least(q - a, greatest(spare - before, 0)))::bigint as granted from p")
 def _(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c("l_quantity").cast("long").alias("q"))
-    return state.fair_share(rows, ["l_orderkey"], "q", F.struct("l_linenumber", "l_partkey", "l_suppkey"), 60).drop("q", "l_suppkey")
+    return state.fair_share(rows, ["l_orderkey"], "q", ["l_linenumber", "l_partkey", "l_suppkey"], 60).drop("q", "l_suppkey")
 
 
 @query("prefix_budget", "select l_orderkey, l_linenumber, l_partkey, coalesce(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and 1 preceding), 0) < 60 as taken from lineitem")

@@ -127,11 +127,13 @@ def budgeted(rows: DataFrame, keys: list[str], order: list[str], many: int = 8,
     return ranked.join(among, keys).where(F.col("rank") <= F.when(F.col("_n") >= many, many_budget).otherwise(few_budget)).drop("_n")
 
 
-def fair_share(rows: DataFrame, keys: list[str], need: str, rank, budget: int) -> DataFrame:
+def fair_share(rows: DataFrame, keys: list[str], need: str, rank: list, budget: int) -> DataFrame:
     """Water-filling: an equal share for each stream, then what is left over in rank order."""
-    w = Window.partitionBy(*keys)
+    # all windows share one order over plain columns, so that a task sorts its rows once, and no key is carried twice
+    ordered = Window.partitionBy(*keys).orderBy(*rank)
+    w = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     share = F.greatest(F.floor(F.lit(budget) / F.count("*").over(w)), F.lit(1))
     base = rows.withColumn("share", F.least(F.col(need), share))
     spare = base.withColumn("spare", budget - F.sum("share").over(w)).withColumn("want", F.col(need) - F.col("share"))
-    before = F.coalesce(F.sum("want").over(w.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("want").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return spare.withColumn("granted", (F.col("share") + F.least("want", F.greatest(F.col("spare") - before, F.lit(0)))).cast("long")).drop("share", "spare", "want")
