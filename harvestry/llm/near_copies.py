@@ -3,12 +3,13 @@
 A document is the set of its shingles of `width` lower-cased words, each known by a digest. Ordered by rarity (counts over
 all documents in a fixed number of hash buckets), sets with a Jaccard similarity of at least t share one of their first
 n - ceil(t n) + 1 shingles: these are the index, whose groups discard pairs that length and positions rule out. All
-shingles of the remaining pairs decide, so that neither a link nor a pair without one hangs on chance. (No radius of
-SimHash bits does this: near copies at similarity 0.8 differ in up to 14 of 64 bits and more, which no grid cell survives.)
+shingles of the remaining pairs decide, so that neither a link nor a pair without one hangs on chance.
 
-Equal sets count as one. A first round checks for each set only the partners it shares most with among the hubs of its
-shingles, the second all pairs that these links left in different components; so a large cluster of near copies gives
-rows in proportion to its size.
+Equal sets count as one. A first round checks the pairs that SimHash brings (fingerprints of the shingles, within three
+bits, by the cells of simhash.py) and for each set the partners it shares most with among the hubs of its shingles. Near
+copies at similarity 0.8 differ in up to 14 of 64 bits and more, which no grid cell survives: so the second round checks
+all pairs that these links left in different components. A large cluster of near copies gives rows in proportion to its
+size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, materialise, mix64, text_chunks, word_bounds, word_digests
 from .simhash import components as connected
+from .simhash import hub_links
 
 THRESHOLD = 0.8
 COUNT_BITS = 20  # buckets of the counts of shingles, as a power of two
@@ -32,7 +34,8 @@ SLICE_BITS = 12  # buckets of a slice of the counts, as a power of two
 WANTED_BITS = 24  # places of the bitmap of sets to verify: at most 2 ** (WANTED_BITS - 6) rows of 16 bytes are broadcast
 HUBS = 3  # partners of a set in the first round
 _HASH = 56  # bits of a key below its rarity
-_ENTRY = [("key", np.uint64), ("set", np.int64), ("label", np.int64), ("n", np.int32), ("at", np.int32)]
+_KEPT = 5  # bytes of a key that a prefix keeps; sets that meet by chance only add pairs to check
+_ENTRY = [("key", np.uint32), ("set", np.int64), ("label", np.int64), ("n", np.int32), ("at", np.int32)]
 
 
 def _slices(count: np.ndarray) -> pa.RecordBatch:
@@ -106,12 +109,27 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, set long, n int, keys binary")
 
 
-def _flat(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All digests of a column of packed ones, and how many each row has."""
-    size = pc.binary_length(keys).to_numpy().astype(np.int64) // 8
+def _flat(keys: pa.Array, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """All digests of a column of packed ones of `width` bytes, and how many each row has."""
+    size = pc.binary_length(keys).to_numpy().astype(np.int64) // width
     wide = np.int64 if pa.types.is_large_binary(keys.type) else np.int32
     first = int(np.frombuffer(keys.buffers()[1], wide)[keys.offset]) if len(keys) else 0
-    return np.frombuffer(keys.buffers()[2] or b"", np.uint64, int(size.sum()), first), size
+    if width == 8:
+        return np.frombuffer(keys.buffers()[2] or b"", np.uint64, int(size.sum()), first), size
+    whole = np.zeros((int(size.sum()), 8), np.uint8)
+    whole[:, :width] = np.frombuffer(keys.buffers()[2] or b"", np.uint8, whole.shape[0] * width, first).reshape(-1, width)
+    return whole.view(np.uint64).ravel(), size
+
+
+def _fingerprints(key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHash of each row's digests: a bit is 1 if set in over half of them."""
+    out = np.zeros(len(size), np.uint64)
+    for i, (at, n) in enumerate(zip(np.cumsum(size) - size, size)):
+        ones = np.zeros(64, np.int64)
+        for lo in range(at, at + n, 4096):
+            ones += np.unpackbits(key[lo : min(lo + 4096, at + n)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]
+    return out.view(np.int64)
 
 
 def _rarities(sets: DataFrame) -> np.ndarray:
@@ -128,22 +146,25 @@ def _rarities(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
-    """(doc_id, set, n, keys): the prefix of each row's set, its rarest keys in ascending order, and the size of the set."""
+    """(doc_id, set, n, fp, keys): the prefix of each row's set, its rarest keys in ascending order, the size of the set and its SimHash."""
     kind = dict(sets.dtypes)["doc_id"]
 
     def cut(batches):
         for batch in batches:
             key, size = _flat(batch.column(3))
+            fp = _fingerprints(key, size)
             row = np.repeat(np.arange(len(size)), size)
             key = rarity[(key >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(_HASH) | key & np.uint64((1 << _HASH) - 1)
             key = key[np.lexsort((key, row))]
             # a set so small that one more or fewer shingle is too many has no partner but its equal
             kept = np.where(size / (size + 1) >= threshold - 1e-9, _prefix(size, threshold), 0)
             key = key[np.repeat(np.cumsum(size) - size, kept) + _ranges(np.zeros(len(size), np.int64), kept)]
-            off = pa.array(8 * np.concatenate([[0], np.cumsum(kept)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.Array.from_buffers(pa.binary(), len(size), [None, off.buffers()[1], pa.py_buffer(key.tobytes())])], ["doc_id", "set", "n", "keys"])
+            off = pa.array(_KEPT * np.concatenate([[0], np.cumsum(kept)]), pa.int32())
+            low = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :_KEPT])
+            packed = pa.Array.from_buffers(pa.binary(), len(size), [None, off.buffers()[1], pa.py_buffer(low.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp), packed], ["doc_id", "set", "n", "fp", "keys"])
 
-    return materialise(sets.mapInArrow(cut, f"doc_id {kind}, set long, n int, keys binary"), "prefixes", **{"parquet.enable.dictionary": "false"})
+    return materialise(sets.mapInArrow(cut, f"doc_id {kind}, set long, n int, fp long, keys binary"), "prefixes", **{"parquet.enable.dictionary": "false"})
 
 
 def _index(prefixes: DataFrame, groups: int) -> DataFrame:
@@ -153,13 +174,13 @@ def _index(prefixes: DataFrame, groups: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             name, label, whole = (batch.column(i).to_numpy() for i in range(3))
-            key, size = _flat(batch.column(3))
+            key, size = _flat(batch.column(3), _KEPT)
             row = np.repeat(np.arange(len(size)), size)
             at = _ranges(np.zeros(len(size), np.int64), size)
             part = (mix64(key.copy()) % np.uint64(groups)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             part, row = part[by], row[by]
-            columns = dict(key=key[by], set=name[row], label=label[row], n=whole[row].astype(np.int32), at=at[by].astype(np.int32))
+            columns = dict(key=key[by].astype(np.uint32), set=name[row], label=label[row], n=whole[row].astype(np.int32), at=at[by].astype(np.int32))
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             ends = np.append(cuts[1:], len(part))
             blobs = [pack.compress(b"".join(columns[c][a:b].tobytes() for c, _ in _ENTRY)) for a, b in zip(cuts, ends)]
@@ -202,6 +223,18 @@ def _pairs(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.n
     return a[head], b[head], np.diff(np.append(head, len(a)))
 
 
+def _alike(prefixes: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets whose fingerprints are equal or lie within three bits, for each fingerprint through one set."""
+    known = prefixes.where("n > 0").select("fp", "set").distinct()
+    nodes = known.groupBy("fp").agg(F.min("set").alias("one"))
+    same = known.join(nodes, "fp").select("set", "one")
+    met = hub_links(nodes.select("fp"))
+    of = lambda s: nodes.select(F.col("fp").alias(s), F.col("one").alias(f"of_{s}"))
+    near = met.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("set"), F.col("of_b").alias("one"))
+    pairs = same.unionByName(near).where("set <> one").select(F.least("set", "one").alias("a"), F.greatest("set", "one").alias("b"))
+    return materialise(pairs.distinct(), "alike")
+
+
 def _hubs(index: DataFrame, threshold: float) -> DataFrame:
     """(a, b): for each set the HUBS partners that it meets most often as its shingle's hub, the set of the smallest name."""
 
@@ -279,9 +312,11 @@ def near_copies(docs: DataFrame, width: int, threshold: float = THRESHOLD, group
     """
     sets = _sets(docs, width)
     prefixes = _prefixes(sets, _rarities(sets), threshold)
-    total = prefixes.agg(F.sum(F.floor(F.octet_length("keys") / 8))).first()[0] or 0
+    total = prefixes.agg(F.sum(F.floor(F.octet_length("keys") / _KEPT))).first()[0] or 0
     groups = total // group_entries + 1
-    near = _real(_hubs(_index(prefixes.withColumn("label", F.col("set")), groups), threshold), sets, threshold)
+    alike = _alike(prefixes)
+    hubs = _hubs(_index(prefixes.withColumn("label", F.col("set")), groups), threshold)
+    near = _real(hubs.unionByName(alike).distinct(), sets, threshold)
     first = connected(near)
     labelled = prefixes.join(first, prefixes.set == first.node, "left").select("set", F.coalesce("label", "set").alias("label"), "n", "keys")
     rest = _real(_rest(_index(labelled, groups), threshold), sets, threshold)
@@ -291,6 +326,6 @@ def near_copies(docs: DataFrame, width: int, threshold: float = THRESHOLD, group
     smallest = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     whole = joined.join(smallest, "label").select("set", "component_id")
     out = materialise(prefixes.select("doc_id", "set").join(whole, "set", "left").select("doc_id", "component_id"), "components")
-    for table in (prefixes, near, first, rest, labels):
+    for table in (prefixes, alike, near, first, rest, labels):
         drop_table(table)
     return out
