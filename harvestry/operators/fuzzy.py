@@ -1,33 +1,80 @@
-"""Pairs of similar strings within groups, by insertions and deletions, without comparing all of them.
+"""Pairs of similar strings within groups, by insertions and deletions.
 
-Two strings with a ratio of at least t differ by at most (1 - t) of their lengths' sum, and an insertion or deletion
-touches two of a string's pairs of signs. So of each string's pairs in one global order the first few decide which
-others it meets, and lengths rule out most of those before anything is compared.
+Two strings with a ratio of at least t differ by at most (1 - t) of their lengths' sum in insertions and deletions. Each
+of these changes one count of signs, and at most three counts of pairs of signs: so counts that differ by more rule a
+pair out before anything is compared. (No index does as much: at a ratio of 88, half of a string's pairs of signs may
+change, and nearly all strings share one of the other half.) All pairs of a group so are looked at, a block of its
+strings with a block at a time, by vectors of counts; that is quadratic in a group, with a small constant.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import alike
+from ..functions.alike import ratio, similarity
+
+FEW = 32  # strings of a group that are paired by a plain join
+BLOCK = 2048  # strings of a block
+SIGNS, PAIRS = 32, 64  # counts of signs and of pairs of signs, by their number modulo these
+
+
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, counts of signs, counts of pairs of signs) of texts."""
+    size = np.array([len(x) for x in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), size)
+    kind = np.int16 if len(size) == 0 or size.max() < 1 << 14 else np.int64
+    signs = np.bincount(row * SIGNS + code % SIGNS, minlength=len(texts) * SIGNS).reshape(-1, SIGNS).astype(kind)
+    both = row[1:] == row[:-1]
+    pair = (code[:-1] * 31 + code[1:])[both] % PAIRS
+    return size, signs, np.bincount(row[:-1][both] * PAIRS + pair, minlength=len(texts) * PAIRS).reshape(-1, PAIRS).astype(kind)
+
+
+def _meet(left: list[str], right: list[str], same: bool, least: float):
+    """(a, b, ratio) of the pairs of left and right, or of left alone, whose ratio is at least `least`."""
+    n, signs, pairs = _counts(left)
+    m, others, other_pairs = (n, signs, pairs) if same else _counts(right)
+    for i, x in enumerate(left):
+        lo = i + 1 if same else 0
+        most = np.floor((100 - least) / 100 * (n[i] + m[lo:]) + 1e-9).astype(np.int64)
+        may = np.flatnonzero(np.abs(others[lo:] - signs[i]).sum(axis=1) <= most)
+        may = may[np.abs(other_pairs[lo + may] - pairs[i]).sum(axis=1) <= 3 * most[may]]
+        for k in may:
+            y = right[lo + k]
+            if (score := ratio(x, y)) >= least:
+                yield (x, y, score) if x < y else (y, x, score)
 
 
 def alike_pairs(strings: DataFrame, group: list[str], text: str, least: float = 88.0) -> DataFrame:
-    """(*group, a, b, ratio), a < b: the distinct strings of a group whose ratio is at least `least` (85 or more).
+    """(*group, a, b, ratio), a < b: the distinct strings of a group whose ratio is at least `least`.
 
     Nulls and strings of fewer than four signs take no part; equal strings are one.
     """
-    if not 85 <= least <= 100:
-        raise ValueError("pairs of signs only decide for ratios from 85 on")
-    n = F.length("a")
-    edits = F.floor((100 - least) / 100 * n * (1 + (200 - least) / least) + 1e-9)  # of the longest partner
-    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.substring("a", i, F.lit(2)).alias("g"), i.alias("i")))
-    # a pair of signs that a string repeats counts each time: its k-th time is a token of its own
-    nth = F.transform(grams, lambda x: F.concat(x["g"], F.size(F.filter(grams, lambda y: (y["g"] == x["g"]) & (y["i"] < x["i"]))).cast("string")))
-    whole = strings.select(*group, F.col(text).alias("a")).where(n >= 4).distinct().withColumn("tokens", F.array_sort(F.transform(nth, lambda x: F.xxhash64(x))))
-    tokens = whole.select(*group, "a", F.explode(F.slice("tokens", F.lit(1), F.least(2 * edits + 1, F.size("tokens")).cast("int"))).alias("token"))
-    other = tokens.withColumnRenamed("a", "b")
-    near = (F.col("a") < F.col("b")) & (200 * F.least(n, F.length("b")) >= least * (n + F.length("b")))
-    met = tokens.join(other, [*group, "token"]).where(near).select(*group, "a", "b").distinct()
-    return met.withColumn("ratio", alike.similarity(F.col("a"), F.col("b"))).where(F.col("ratio") >= least)
+    known = F.lit(True)
+    for g in group:
+        known = known & F.col(g).isNotNull()
+    whole = strings.select(*group, F.col(text).alias("a")).where(known & (F.length("a") >= 4)).distinct()
+    many = whole.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW)
+    few = whole.join(many, group, "left_anti")
+    n, m = F.length("a"), F.length("b")
+    met = few.join(few.withColumnRenamed("a", "b"), group).where((F.col("a") < F.col("b")) & (200 * F.least(n, m) >= least * (n + m)))
+    near = met.withColumn("ratio", similarity(F.col("a"), F.col("b"))).where(F.col("ratio") >= least)
+    blocks = F.ceil(F.col("_n") / BLOCK)
+    block = F.pmod(F.xxhash64("a"), blocks)
+    dealt = whole.join(many, group).select(*group, "a", block.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
+    dealt = dealt.select(*group, "a", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields if f.name != "a") + ", a string, b string, ratio double"
+
+    def meet(table: pa.Table) -> pa.Table:
+        own, texts = table.column("_own").to_numpy(), table.column("a").to_pylist()
+        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        left = [x for x, k in zip(texts, own) if k == i]
+        found = list(_meet(left, left if i == j else [x for x, k in zip(texts, own) if k == j], i == j, least))
+        of = {g: pa.array([table.column(g)[0].as_py()] * len(found), table.column(g).type) for g in group}
+        a, b, scores = ([x[k] for x in found] for k in range(3))
+        return pa.table(of | {"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "ratio": pa.array(scores, pa.float64())})
+
+    return near.unionByName(dealt.groupBy(*group, "_i", "_j").applyInArrow(meet, schema))
