@@ -47,7 +47,7 @@ def _(t):
 def _(t):
     marked = F.concat_ws("\n", c("line"), F.lit(""), F.lit(""), c("text"))
     rows = t("documents").select("doc_id", "text", F.expr(_LINE).alias("line"))
-    return rows.select("doc_id", F.sha2(cleaning.clean_text(marked), 256).alias("cleaned_sha256"))
+    return cleaning.cleaned(rows.select("doc_id", marked.alias("text")), "text").select("doc_id", F.sha2("text", 256).alias("cleaned_sha256"))
 
 
 @query("cut_at_word", r"""select doc_id, case when length(x) <= 60 then x else rtrim(case when contains(substr(x, 1, 59), ' ') then regexp_replace(substr(x, 1, 59), ' [^ ]*$', '') else substr(x, 1, 59) end, ' ,;:—-') || '…' end as head from (select doc_id, """ + _START + """ as x from documents)""")
