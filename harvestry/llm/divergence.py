@@ -58,8 +58,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def _p(n: str, total: str, terms: str = "v"):
-    """A term's probability, in parts of 10^9; decimals, as the product may pass 64 bits."""
-    return F.expr(f"1 + (cast(1000000000 as decimal(38, 0)) * ({n} + 1)) div ({total} + {terms})")
+    """A term's probability, in parts of 10^9; decimals, as the product may pass 64 bits.
+
+    A language without kept terms has no such price, but Spark may compute it before a join or filter drops the row: 1 there.
+    """
+    return F.expr(f"1 + (cast(1000000000 as decimal(38, 0)) * ({n} + 1)) div greatest({total} + {terms}, 1)")
 
 
 def _f(p: str, q: str):
