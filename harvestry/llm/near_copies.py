@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, mix64, text_chunks, word_bounds, word_digests
+from .common import drop_table, materialise, mix64, small_batches, text_chunks, word_bounds, word_digests
 from .simhash import components as connected
 from .simhash import hub_links
 
@@ -58,7 +58,9 @@ def _total(slices: DataFrame, bits: int) -> np.ndarray:
 
     few = slices.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     total = np.zeros((1 << bits - SLICE_BITS, 1 << SLICE_BITS), np.int64)
-    for r in few.collect():
+    with small_batches(slices.sparkSession):
+        rows = few.collect()
+    for r in rows:
         total[r["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["counts"])), np.int64)
     return total.ravel()
 

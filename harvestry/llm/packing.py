@@ -23,7 +23,8 @@ from .common import materialise, word_bounds, word_digests
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 600_000  # distinct words that a task's tokenizer remembers at once
+CACHE_WORDS = 300_000  # distinct words that a task's tokenizer remembers at once
+CALL = 128  # texts that it encodes at once
 
 
 class _Numbers(dict):
@@ -161,8 +162,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     kind = dict(docs.dtypes)["doc_id"]
 
     def encoded(encode, column):
-        for lo in range(0, len(column), 512):
-            yield from encode([t or "" for t in column.slice(lo, 512).to_pylist()])
+        for lo in range(0, len(column), CALL):
+            yield from encode([t or "" for t in column.slice(lo, CALL).to_pylist()])
 
     def cut(batches):
         import os
