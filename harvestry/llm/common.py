@@ -57,6 +57,11 @@ def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that Spark must not broadcast: it grows with the input, by far more than the size of its files tells, and would go through the driver."""
+    return df.hint("merge")
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a table that materialise() wrote, through Hadoop's file system interface."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise
+from .common import drop_table, materialise, shuffled
 
 SEED = 42
 MAX_BITS = 3
@@ -94,7 +94,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("two halves cover distances up to 3")
     cells = _cells(nodes if "label" in nodes.columns else nodes.withColumn("label", F.col("fp")))
     fit = (F.col("label") != F.col("label2")) & _near("code", "code2", max_bits) & _near("fp", "fp2", max_bits)
-    met = cells.join(_probes(cells), ["half", "cell"]).where((~F.col("same") | (F.col("fp") < F.col("fp2"))) & fit)
+    met = cells.join(shuffled(_probes(cells)), ["half", "cell"]).where((~F.col("same") | (F.col("fp") < F.col("fp2"))) & fit)
     return met.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), F.least("label", "label2").alias("la"), F.greatest("label", "label2").alias("lb"))
 
 
@@ -103,7 +103,7 @@ def hub_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     cells = _cells(nodes.withColumn("label", F.col("fp")))
     order = F.xxhash64("fp")
     hubs = cells.groupBy("half", "cell").agg(F.min("fp").alias("h1"), F.max("fp").alias("h2"), F.min(F.struct(order, "fp")).getField("fp").alias("h3"), F.max(F.struct(order, "fp")).getField("fp").alias("h4"))
-    met = _probes(cells).join(hubs, ["half", "cell"]).select("fp2", F.explode(F.filter(F.array_distinct(F.array("h1", "h2", "h3", "h4")), lambda h: (h != F.col("fp2")) & (F.bit_count(h.bitwiseXOR(F.col("fp2"))) <= max_bits))).alias("h"))
+    met = _probes(cells).join(shuffled(hubs), ["half", "cell"]).select("fp2", F.explode(F.filter(F.array_distinct(F.array("h1", "h2", "h3", "h4")), lambda h: (h != F.col("fp2")) & (F.bit_count(h.bitwiseXOR(F.col("fp2"))) <= max_bits))).alias("h"))
     return met.select(F.least("fp2", "h").alias("a"), F.greatest("fp2", "h").alias("b")).distinct()
 
 
@@ -112,10 +112,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
     while True:
-        heard = both.join(labels, both.u == labels.node).groupBy("v").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, labels.node == heard.v, "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        heard = both.join(shuffled(labels), both.u == labels.node).groupBy("v").agg(F.min("label").alias("heard"))
+        near = labels.join(shuffled(heard), labels.node == heard.v, "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        new = near.join(jump, near.label == jump.via, "left").select("node", "old", F.least("label", "beyond").alias("label"))
+        new = near.join(shuffled(jump), near.label == jump.via, "left").select("node", "old", F.least("label", "beyond").alias("label"))
         new = materialise(new, "labels")
         done = new.where("label <> old").isEmpty()
         drop_table(labels)
@@ -135,12 +135,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS) -
     fp = materialise(fingerprints(docs, width), "fingerprints")
     nodes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     near = components(hub_links(nodes.select("fp"), max_bits))
-    labelled = materialise(nodes.join(near, nodes.fp == near.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
+    labelled = materialise(nodes.join(shuffled(near), nodes.fp == near.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
     rest = components(links(labelled.select("fp", "label"), max_bits).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    joined = labelled.join(rest.select("node", F.col("label").alias("root")), labelled.label == rest.node, "left").select("fp", "first", F.coalesce("root", "label").alias("label"))
+    joined = labelled.join(shuffled(rest.select("node", F.col("label").alias("root"))), labelled.label == rest.node, "left").select("fp", "first", F.coalesce("root", "label").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    whole = joined.join(smallest, "label").select("fp", "component_id")
-    out = fp.join(whole, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    whole = joined.join(shuffled(smallest), "label").select("fp", "component_id")
+    out = fp.join(shuffled(whole), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     out = materialise(out, "components")
     for table in (fp, nodes, near, labelled, rest):
         drop_table(table)
