@@ -2,8 +2,10 @@
 
 A document is the set of its shingles of `width` lower-cased words, each known by a digest. Ordered by rarity (counts over
 all documents in a fixed number of hash buckets), sets with a Jaccard similarity of at least t share one of their first
-n - ceil(t n) + 1 shingles: these are the index, whose groups discard pairs that length and positions rule out. All
-shingles of the remaining pairs decide, so that neither a link nor a pair without one hangs on chance.
+n - ceil(t n) + 1 shingles: these are the index, whose groups discard pairs that length and positions rule out. Of the
+remaining pairs, parity signatures (each shingle flips one bit, so two sets differ in at least as many shingles as in
+bits) discard those too far apart; all shingles of the others decide, so that neither a link nor a pair without one hangs
+on chance.
 
 Equal sets count as one. A first round checks the pairs that SimHash brings (fingerprints of the shingles, within three
 bits, by the cells of simhash.py) and for each set the partners it shares most with among the hubs of its shingles. Near
@@ -21,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, mix64, small_batches, text_chunks, word_bounds, word_digests
+from .common import drop_table, materialise, mix64, shuffled, small_batches, text_chunks, word_bounds, word_digests
 from .simhash import components as connected
 from .simhash import hub_links
 
@@ -33,6 +35,7 @@ PAIRS = 1 << 20  # that a group looks at together
 SLICE_BITS = 12  # buckets of a slice of the counts, as a power of two
 WANTED_BITS = 24  # places of the bitmap of sets to verify: at most 2 ** (WANTED_BITS - 6) rows of 16 bytes are broadcast
 HUBS = 3  # partners of a set in the first round
+SIGN_BITS = 64, 8192  # of a signature, least and most: a power of two, at least one for each shingle in between
 _HASH = 56  # bits of a key below its rarity
 _KEPT = 5  # bytes of a key that a prefix keeps; sets that meet by chance only add pairs to check
 _ENTRY = [("key", np.uint32), ("set", np.int64), ("label", np.int64), ("n", np.int32), ("at", np.int32)]
@@ -123,6 +126,14 @@ def _flat(keys: pa.Array, width: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return whole.view(np.uint64).ravel(), size
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and how many each row has."""
+    size = pc.binary_length(column).to_numpy().astype(np.int64)
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    first = int(np.frombuffer(column.buffers()[1], wide)[column.offset]) if len(column) else 0
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8, int(size.sum()), first), size
+
+
 def _fingerprints(key: np.ndarray, size: np.ndarray) -> np.ndarray:
     """SimHash of each row's digests: a bit is 1 if set in over half of them."""
     out = np.zeros(len(size), np.uint64)
@@ -134,6 +145,29 @@ def _fingerprints(key: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _signatures(key: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Each row's parity signature: a bit is 1 if an odd number of digests end in its number."""
+    least, most = SIGN_BITS
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), least, most)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    place = np.repeat(at[:-1], size) + (key & (np.repeat(bits, size) - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=at[-1]) & 1).astype(bool), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.array(at >> 3, pa.int32()).buffers()[1], pa.py_buffer(packed.tobytes())])
+
+
+def _differing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Bits in which the signatures of each row differ; the longer one is folded to the length of the other."""
+    (x, n), (y, m) = (_bytes(c) for c in (a, b))
+    out = np.zeros(len(n), np.int64)
+    for i, j in set(zip(n.tolist(), m.tolist())):
+        rows = np.flatnonzero((n == i) & (m == j))
+        p, q = (z[(np.cumsum(k) - k)[rows][:, None] + np.arange(w)] for z, k, w in ((x, n, i), (y, m, j)))
+        w = min(i, j)
+        p, q = (np.bitwise_xor.reduce(z.reshape(len(rows), -1, w), axis=1) for z in (p, q))
+        out[rows] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _rarities(sets: DataFrame) -> np.ndarray:
     """Per bucket of shingles, its rarity in steps of a quarter of an octave."""
 
@@ -148,13 +182,13 @@ def _rarities(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
-    """(doc_id, set, n, fp, keys): the prefix of each row's set, its rarest keys in ascending order, the size of the set and its SimHash."""
+    """(doc_id, set, n, fp, keys, sign): the prefix of each row's set, its rarest keys in ascending order, the size of the set, its SimHash and signature."""
     kind = dict(sets.dtypes)["doc_id"]
 
     def cut(batches):
         for batch in batches:
             key, size = _flat(batch.column(3))
-            fp = _fingerprints(key, size)
+            fp, sign = _fingerprints(key, size), _signatures(key, size)
             row = np.repeat(np.arange(len(size)), size)
             key = rarity[(key >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(_HASH) | key & np.uint64((1 << _HASH) - 1)
             key = key[np.lexsort((key, row))]
@@ -164,9 +198,9 @@ def _prefixes(sets: DataFrame, rarity: np.ndarray, threshold: float) -> DataFram
             off = pa.array(_KEPT * np.concatenate([[0], np.cumsum(kept)]), pa.int32())
             low = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :_KEPT])
             packed = pa.Array.from_buffers(pa.binary(), len(size), [None, off.buffers()[1], pa.py_buffer(low.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp), packed], ["doc_id", "set", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp), packed, sign], ["doc_id", "set", "n", "fp", "keys", "sign"])
 
-    return materialise(sets.mapInArrow(cut, f"doc_id {kind}, set long, n int, fp long, keys binary"), "prefixes", **{"parquet.enable.dictionary": "false"})
+    return materialise(sets.mapInArrow(cut, f"doc_id {kind}, set long, n int, fp long, keys binary, sign binary"), "prefixes", **{"parquet.enable.dictionary": "false"})
 
 
 def _index(prefixes: DataFrame, groups: int) -> DataFrame:
@@ -280,9 +314,25 @@ def _rest(index: DataFrame, threshold: float) -> DataFrame:
     return index.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
-def _real(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _close(pairs: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs(a, b) whose signatures let their sets reach the threshold: most others go before whole sets are shuffled."""
+
+    def check(batches):
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            need = np.ceil((n + m) * threshold / (1 + threshold) - 1e-9).astype(np.int64)
+            fit = _differing(batch.column(3), batch.column(5)) <= n + m - 2 * need
+            yield batch.select(["a", "b"]).filter(pa.array(fit))
+
+    known = prefixes.groupBy("set").agg(F.any_value("n").alias("n"), F.any_value("sign").alias("sign"))
+    of = lambda s: shuffled(known.select(F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("sign").alias(f"sign_{s}")))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "sign_a", "n_b", "sign_b")
+    return met.mapInArrow(check, "a long, b long")
+
+
+def _real(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs(a, b) whose sets reach the threshold."""
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(_close(pairs, prefixes, threshold), "pairs")
     wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("set"))
     # before keys are shuffled, a bitmap of fixed size leaves out most sets of no pair
     word = F.shiftrightunsigned("set", 6).bitwiseAND(F.lit((1 << WANTED_BITS - 6) - 1)).alias("word")
@@ -318,10 +368,10 @@ def near_copies(docs: DataFrame, width: int, threshold: float = THRESHOLD, group
     groups = total // group_entries + 1
     alike = _alike(prefixes)
     hubs = _hubs(_index(prefixes.withColumn("label", F.col("set")), groups), threshold)
-    near = _real(hubs.unionByName(alike).distinct(), sets, threshold)
+    near = _real(hubs.unionByName(alike).distinct(), prefixes, sets, threshold)
     first = connected(near)
     labelled = prefixes.join(first, prefixes.set == first.node, "left").select("set", F.coalesce("label", "set").alias("label"), "n", "keys")
-    rest = _real(_rest(_index(labelled, groups), threshold), sets, threshold)
+    rest = _real(_rest(_index(labelled, groups), threshold), prefixes, sets, threshold)
     labels = connected(near.unionByName(rest))
     firsts = prefixes.groupBy("set").agg(F.min("doc_id").alias("first"))
     joined = firsts.join(labels, firsts.set == labels.node, "left").select("set", "first", F.coalesce("label", "set").alias("label"))

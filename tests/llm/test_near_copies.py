@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from harvestry.llm import near_copies
 
@@ -45,3 +48,19 @@ def test_near_copies_like_brute_force(spark):
     assert near_copies.near_copies(docs.limit(0), 5).count() == 0
     repeated = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "A  b"), (None, "c")], docs.schema)
     assert sorted(map(str, near_copies.near_copies(repeated, 5).collect())) == ["Row(doc_id=3, component_id=3)", "Row(doc_id=None, component_id=3)", "Row(doc_id=None, component_id=3)", "Row(doc_id=None, component_id=None)"]
+
+
+def test_signatures_before_sets(spark, monkeypatch):
+    """Pairs that merely share a shingle don't bring their sets into a shuffle; no pair at the threshold is lost."""
+    r = random.Random(8)
+    word = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    common = [word(14) for _ in range(6)]
+    texts = [f"{word(r.choice([60, 90, 100, 150]))} {r.choice(common)}" for _ in range(60)]
+    texts += [" ".join([*t.split()[1:], "x"]) for t in texts[:10]]
+    written, write = {}, near_copies.materialise
+    monkeypatch.setattr(near_copies, "materialise", lambda df, name, **o: (out := write(df, name, **o), written.setdefault(name, []).append(out.count()))[0])
+    sets = near_copies._sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
+    prefixes = near_copies._prefixes(sets, np.zeros(1 << near_copies.COUNT_BITS, np.uint8), 0.8)
+    pairs = near_copies._rest(near_copies._index(prefixes.withColumn("label", F.col("set")), 1), 0.8)
+    assert pairs.count() > 100
+    assert near_copies._real(pairs, prefixes, sets, 0.8).count() == 10 <= written["pairs"][0] <= 15
