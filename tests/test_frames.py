@@ -184,3 +184,14 @@ def test_stream(spark, tmp_path):
         assert run() == [("k", "Another line", 1, 0.0), ("m", "HELLO", 3, 1.0), ("m", "Something else", 2, 0.5)]
     finally:
         spark.conf.set(kind, before)
+
+
+def test_blocks_of_alike_strings(monkeypatch):
+    """Most pairs of a block go by a few words of bits; hardly any string is compared sign by sign alone."""
+    rng = random.Random(4)
+    texts = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(40, 61))) for _ in range(300)})
+    texts = sorted({*texts, *(x[:20] + "zz" + x[24:] for x in texts[:30])})
+    monkeypatch.setattr(fuzzy, "ratio", None)
+    a, b, scores = fuzzy._meet(texts, texts, True, 88.0)
+    expected = [(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and 200 * lcs(x, y) / (len(x) + len(y)) >= 88]
+    assert sorted(zip(a.tolist(), b.tolist())) == expected and len(expected) >= 30
